@@ -1,8 +1,69 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: language ID, exact dedup, MinHash near-dedup, mixing, byte-level BPE.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as
+Parquet and reads it again for the next one. All stages but the last return the
+columns of documents. A document has one doc_id; of repeated rows with equal
+doc_id and text the dedup stages keep one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strataq.llm import bpe, exact_dedup, language_id, minhash, mixing
+from strataq.llm.common import materialize
+
+
+def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is among keys (null included)."""
+    k = keys.select(F.col("key").alias("_key"))
+    return docs.join(k, docs["doc_id"].eqNullSafe(k["_key"]), "left_semi")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the language model rejects go (null text, no letter, or under its calibrated threshold)."""
+    out = language_id.identify(docs, language_id.fit_model(docs), keep=tuple(docs.columns))
+    return out.where(~F.col("rejected")).select(*docs.columns)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = exact_dedup.exact_dedup(docs).where("kept")
+    return _only(docs, kept).dropDuplicates(["doc_id"])
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest doc_id stays."""
+    return _only(docs, minhash.near_dedup(docs).where("kept"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    m = mixing.mix(docs).where("copies > 0").select(F.col("key").alias("_key"), "copies")
+    out = docs.join(m, docs["doc_id"].eqNullSafe(m["_key"])).withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return out.select(*docs.columns)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document of the mix."""
+    return bpe.encode_digest(docs).withColumnRenamed("key", "doc_id")
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("byte_bpe", encode_tokens),
+]
+#: SQL cannot express language ID, MinHash and BPE: the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs, f"pipeline-{name}")
+    return docs
