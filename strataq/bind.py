@@ -1,4 +1,272 @@
 """Queries that bind the engine's operators to tables, with their DuckDB SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from strataq.functions import descriptors as D
+from strataq.functions import text as T
+from strataq.operators import ioc
+from strataq.operators import relational as R
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _search(name, match_type, query, sql, ignore_case=False):
+    def f(spark, d):
+        return R.search(_t(spark, d, "part"), "p_name", query, match_type, ignore_case).select("p_partkey", "p_name")
+
+    QUERIES[name], ORACLE_SQL[name] = f, f"select p_partkey, p_name from part where {sql}"
+
+
+_search("search_contains", "contains", "red", "contains(p_name, 'red')")
+_search("search_equals", "equals", "red widget", "p_name = 'red widget'")
+_search("search_starts", "starts_with", "small", "starts_with(p_name, 'small')")
+_search("search_ends", "ends_with", "ring", "ends_with(p_name, 'ring')")
+_search("search_similar_regex", "similar_regex", "^red", "starts_with(p_name, 'red')")
+_search("search_similar_regex_both", "similar_regex", "^small ring$", "p_name = 'small ring'")
+_search("search_ignore_case", "contains", "WIDGET", "contains(lower(p_name), 'widget')", True)
+_search("search_unknown_type", "no such type", "ring", "contains(p_name, 'ring')")
+
+
+@_query("select distinct doc_id from documents where contains(text, 'the') and contains(text, 'and')")
+def search_all_strings(spark, d):
+    return R.using_all_strings(_t(spark, d, "documents"), "doc_id", "text", ["the", "and"])
+
+
+@_query("select conv_id from conversations group by conv_id having bool_or(contains(text, 'en')) and bool_or(contains(text, 'la'))")
+def search_all_strings_by_group(spark, d):
+    return R.using_all_strings(_t(spark, d, "conversations"), "conv_id", "text", ["en", "la"])
+
+
+@_query("""select 'license' as label, doc_id from documents where contains(text, 'License')
+union all select 'mail' as label, doc_id from documents where contains(text, '@') and contains(text, '.')""")
+def batch_search(spark, d):
+    return R.batch_search(_t(spark, d, "documents"), "doc_id", "text", {"license": ["License"], "mail": ["@", "."]})
+
+
+@_query("select n_nationkey, n_name from nation join region on n_regionkey = r_regionkey where r_name = 'ASIA' and contains(n_name, 'A')")
+def search_scoped(spark, d):
+    scope = R.search(_t(spark, d, "region"), "r_name", "ASIA", "equals").select(F.col("r_regionkey").alias("n_regionkey"))
+    return R.sites_to(R.search(_t(spark, d, "nation"), "n_name", "A"), scope, "n_regionkey").select("n_nationkey", "n_name")
+
+
+@_query("select l_orderkey from lineitem group by l_orderkey having bool_or(l_linenumber = 1) and bool_or(l_linenumber = 2)")
+def search_int_literals(spark, d):
+    return R.using_all_numbers(_t(spark, d, "lineitem"), "l_orderkey", "l_linenumber", [1, 2 + (1 << 32)])
+
+
+@_query("select l_orderkey from lineitem group by l_orderkey having bool_or(l_quantity = 10.0) and bool_or(l_quantity = 20.0)")
+def search_double_literals(spark, d):
+    li = _t(spark, d, "lineitem")
+    return li.where(F.col("l_quantity").isin(10.0, 20.0)).groupBy("l_orderkey").agg(F.count_distinct("l_quantity").alias("n")).where("n = 2").select("l_orderkey")
+
+
+@_query("select n_name, r_name from nation join region on n_regionkey = r_regionkey where starts_with(r_name, 'E')")
+def search_direct_parent(spark, d):
+    up = R.search(_t(spark, d, "region"), "r_name", "^E", "regex").withColumnRenamed("r_regionkey", "n_regionkey")
+    return R.sites_to(_t(spark, d, "nation"), up, "n_regionkey").select("n_name", "r_name")
+
+
+@_query("select o_orderstatus, count(*) as n_orders from orders group by o_orderstatus")
+def list_per_partition(spark, d):
+    return _t(spark, d, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n_orders"))
+
+
+@_query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 25 offset 50")
+def paginate(spark, d):
+    o = _t(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return R.paginate(o, [F.desc("o_totalprice"), "o_orderkey"], 50, 25)
+
+
+@_query("select text, min((conv_id, turn)).conv_id as first_conv_id, min((conv_id, turn)).turn as first_turn from (select text, {'conv_id': conv_id, 'turn': turn} as k, conv_id, turn from conversations) group by text")
+def value_strings_first_occurrence(spark, d):
+    return R.first_occurrence(_t(spark, d, "conversations"), "text", ["conv_id", "turn"])
+
+
+ORACLE_SQL["value_strings_first_occurrence"] = "select text, conv_id as first_conv_id, turn as first_turn from (select text, conv_id, turn, row_number() over (partition by text order by conv_id, turn) as r from conversations) where r = 1"
+
+
+@_query("select text, min(doc_id) as doc_id from documents group by text")
+def first_wins(spark, d):
+    return R.first_wins(_t(spark, d, "documents").select("text", "doc_id"), "text", "doc_id")
+
+
+@_query("select o_orderkey, count(distinct o_custkey) as n_refs from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey) group by o_orderkey")
+def external_refs(spark, d):
+    return R.external_refs(_t(spark, d, "orders"), _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "o_custkey")
+
+
+@_query("select o_orderkey, o_orderstatus from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey)")
+def declared_semi(spark, d):
+    return R.declared_refs(_t(spark, d, "orders"), _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey").select("o_orderkey", "o_orderstatus")
+
+
+@_query("select l_orderkey, l_linenumber, p_name from lineitem join part on l_partkey = p_partkey where p_type = 'ECONOMY'")
+def call_sites_to(spark, d):
+    target = R.search(_t(spark, d, "part"), "p_type", "ECONOMY", "equals").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    return R.sites_to(_t(spark, d, "lineitem"), target, "l_partkey").select("l_orderkey", "l_linenumber", "p_name")
+
+
+@_query("select o_custkey, l_partkey, count(*) as n_sites from orders join lineitem on o_orderkey = l_orderkey where o_orderstatus = 'F' group by all")
+def call_sites_from(spark, d):
+    o = _t(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    return R.sites_to(_t(spark, d, "lineitem"), o, "l_orderkey").groupBy("o_custkey", "l_partkey").agg(F.count(F.lit(1)).alias("n_sites"))
+
+
+@_query("select user_id, count(*) filter (where event_type in ('view', 'click')) as n_reads, count(*) filter (where event_type in ('purchase', 'signup')) as n_writes from events group by user_id")
+def field_accesses(spark, d):
+    e = F.col("event_type")
+    return _t(spark, d, "events").groupBy("user_id").agg(F.count_if(e.isin("view", "click")).alias("n_reads"), F.count_if(e.isin("purchase", "signup")).alias("n_writes"))
+
+
+@_query("select 'customer' as role, c_name as name from customer where c_nationkey = 3 union all select 'supplier', s_name from supplier where s_nationkey = 3")
+def type_references(spark, d):
+    c = _t(spark, d, "customer").where("c_nationkey = 3").select(F.lit("customer").alias("role"), F.col("c_name").alias("name"))
+    return c.unionByName(_t(spark, d, "supplier").where("s_nationkey = 3").select(F.lit("supplier").alias("role"), F.col("s_name").alias("name")))
+
+
+@_query("select c_custkey, c_name, count(o_orderkey) as n_orders, min(o_orderkey) as first_order from customer left join orders on c_custkey = o_custkey group by all")
+def class_summary(spark, d):
+    o = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("o_orderkey").alias("n_orders"), F.min("o_orderkey").alias("first_order"))
+    return _t(spark, d, "customer").join(o, "c_custkey", "left").select("c_custkey", "c_name", F.coalesce("n_orders", F.lit(0)).alias("n_orders"), "first_order")
+
+
+@_query("""with refs as (select distinct p_brand as cls, p_type as name, p_size % 3 as arity, p_name as types from part),
+dim as (select * from (values ('Brand#2', 'ECONOMY', 1, 'small ring'), ('Brand#17', 'ECONOMY', 2, 'red widget')) v(cls, name, d_arity, d_types)),
+tot as (select cls, name, count(*) as total from (select distinct cls, name, arity, types from refs) group by all),
+per as (select cls, name, arity, count(distinct types) as same_arity from refs group by all)
+select cls, name, arity, types from refs join dim using (cls, name) join tot using (cls, name) join per using (cls, name, arity)
+where total <= 1 or (arity = d_arity and (same_arity <= 1 or types = d_types))""")
+def overload_join(spark, d):
+    dim = spark.createDataFrame([("Brand#2", "ECONOMY", 1, "small ring"), ("Brand#17", "ECONOMY", 2, "red widget")], "cls string, name string, arity int, types string")
+    refs = _t(spark, d, "part").select(F.col("p_brand").alias("cls"), F.col("p_type").alias("name"), (F.col("p_size") % 3).alias("arity"), F.col("p_name").alias("types")).distinct()
+    return R.overload_join(dim, refs, ["cls", "name"]).select("cls", "name", "arity", "types")
+
+
+@_query("""select perm, p_partkey as api, count(distinct l_suppkey) as n_callers
+from (values ('small', 'camera'), ('red', 'location')) v(prefix, perm) join part on starts_with(p_name, prefix)
+join lineitem on l_partkey = p_partkey where l_suppkey >= 10 group by all""")
+def permission_callers(spark, d):
+    perm = F.when(F.col("p_name").startswith("small"), "camera").when(F.col("p_name").startswith("red"), "location")
+    api = _t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), perm.alias("perm")).where("perm is not null")
+    sites = R.sites_to(_t(spark, d, "lineitem").where("l_suppkey >= 10"), api, "l_partkey")
+    return sites.groupBy("perm", F.col("l_partkey").alias("api")).agg(F.count_distinct("l_suppkey").alias("n_callers"))
+
+
+_CATALOG = {"purchase": ["payment", "network"], "signup": ["identity"], "click": ["ui"]}
+_UNNEST = "(select event_type as api, user_id as caller, user_id < 20 as dropped, unnest(case event_type when 'purchase' then ['payment', 'network'] when 'signup' then ['identity'] when 'click' then ['ui'] end) as tag from events)"
+
+
+def _touches(spark, d):
+    return R.touches(_t(spark, d, "events"), "event_type", "user_id", _CATALOG, F.col("user_id") < 20)
+
+
+@_query(f"select tag, count(*) as n_touches, count(distinct caller) as n_callers from {_UNNEST} where not dropped group by tag")
+def capability_counts(spark, d):
+    return R.capability_counts(_touches(spark, d))
+
+
+@_query(f"select api, sum(dropped::int)::bigint as dropped_touches, count(*) as touches, bool_and(dropped) as api_dropped from {_UNNEST} group by api")
+def capability_dropped(spark, d):
+    return R.dropped(_touches(spark, d))
+
+
+@_query(f"select tag, count(*) as n from {_UNNEST} group by tag order by n desc, tag limit 3")
+def top_categories(spark, d):
+    return R.top(_touches(spark, d), "tag", 3)
+
+
+@_query("select event_type, user_id % 4 as bucket, count(*) as n from events group by cube (event_type, user_id % 4)")
+def capability_cube(spark, d):
+    e = _t(spark, d, "events").withColumn("bucket", F.col("user_id") % 4)
+    return e.cube("event_type", "bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _nested_replace(col: str) -> str:
+    for a, b in T.REFANG:
+        col = f"replace({col}, '{a}', '{b}')"
+    return col
+
+
+@_query(f"select doc_id, md5({_nested_replace('text')}) as digest from documents")
+def refang(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.md5(T.refang(F.col("text")).cast("binary")).alias("digest"))
+
+
+@_query(rf"""with m as (select doc_id, unnest(regexp_extract_all({_nested_replace('text')}, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+')) as m from documents)
+select distinct doc_id, regexp_extract(m, '^[A-Za-z0-9._%+-]{{1,64}}@[A-Za-z0-9.-]{{1,253}}\.[A-Za-z]{{2,24}}') as value from m
+where regexp_matches(m, '^[A-Za-z0-9._%+-]{{1,64}}@[A-Za-z0-9.-]{{1,253}}\.[A-Za-z]{{2,24}}')""")
+def ioc_emails(spark, d):
+    return ioc.extract(_t(spark, d, "documents"), "doc_id", "text", T.EMAIL)
+
+
+@_query(r"""with m as (select doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)+')) as value from documents)
+select distinct doc_id, value from m where regexp_full_match(value, '(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])')""")
+def ioc_ips(spark, d):
+    got = ioc.extract(_t(spark, d, "documents"), "doc_id", "text", T.IPV4)
+    return got.select("doc_id", F.regexp_replace("value", ":.*", "").alias("value")).distinct()
+
+
+@_query(r"""select distinct page_id, regexp_replace(regexp_extract(url, '(?:https?|ftp|wss?)://[^ \t\r\n"''<>\\]+'), '[.,);"'']+$', '') as value from pages where regexp_matches(url, '(?:https?|ftp|wss?)://[^ ]')""")
+def ioc_urls(spark, d):
+    return ioc.urls(_t(spark, d, "pages"), "page_id", "url")
+
+
+@_query(r"select distinct page_id, lower(regexp_extract(url, '://(?:[^/?#]*@)?([^/?#:]*)', 1)) as value from pages where contains(url, '://')")
+def ioc_hosts(spark, d):
+    return ioc.hosts(_t(spark, d, "pages"), "page_id", "url")
+
+
+@_query()
+def ioc_counts(spark, d):
+    docs, pages = _t(spark, d, "documents"), _t(spark, d, "pages")
+    return ioc.counts({"email": ioc.extract(docs, "doc_id", "text", T.EMAIL), "ipv4": ioc.extract(docs, "doc_id", "text", T.IPV4), "onion": ioc.extract(docs, "doc_id", "text", T.ONION), "url": ioc.urls(pages, "page_id", "url"), "host": ioc.hosts(pages, "page_id", "url")})
+
+
+@_query("""with v as (select distinct unnest(regexp_extract_all(text, 'src[0-9]+|item[0-9]+|[A-Z][a-z]+ License')) as value from documents order by value limit 300)
+select value, doc_id from v join documents on contains(text, value)""")
+def ioc_xref(spark, d):
+    docs = _t(spark, d, "documents")
+    vals = docs.select(F.explode(T.found(F.col("text"), r"src[0-9]+|item[0-9]+|[A-Z][a-z]+ License")).alias("value"))
+    return ioc.xref(vals, docs, "doc_id", "text")
+
+
+@_query("""select uri, family, count(*) as n_rows from (values ('http://', 'plain'), ('https://', 'tls'), ('example.com/fr', 'french'), ('content://sms', 'sms')) v(uri, family)
+join pages on contains(url, uri) group by all""")
+def provider_uris(spark, d):
+    return ioc.provider_uris(_t(spark, d, "pages"), "url", {"http://": "plain", "https://": "tls", "example.com/fr": "french", "content://sms": "sms"})
+
+
+@_query(r"""with h as (select distinct string_split(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '.') as l from pages)
+select distinct array_to_string(l[1:k], '.') as prefix from h, unnest(generate_series(1, len(l))) g(k)""")
+def package_prefixes(spark, d):
+    return R.package_prefixes(_t(spark, d, "pages"), T.host_of(F.col("url")))
+
+
+_DESC = ["I", "[I", "Ljava/lang/String;", "[[Lcom/x/Y;", "V", "junk", "[", "La;"]
+
+
+@_query("select * from (values ('I', 'int'), ('[I', 'int[]'), ('Ljava/lang/String;', 'java.lang.String'), ('[[Lcom/x/Y;', 'com.x.Y[][]'), ('V', 'void'), ('junk', 'junk'), ('[', '['), ('La;', 'a')) v(d, java)")
+def descriptor_java(spark, d):
+    return spark.createDataFrame([(x,) for x in _DESC], "d string").select("d", D.descriptor_to_java(F.col("d")).alias("java"))
+
+
+@_query("select * from (values ('(I[JLjava/lang/String;)V', '(int, long[], java.lang.String) -> void'), ('()Z', '() -> boolean')) v(p, pretty)")
+def proto_pretty(spark, d):
+    return spark.createDataFrame([("(I[JLjava/lang/String;)V",), ("()Z",)], "p string").select("p", D.pretty_proto(F.col("p")).alias("pretty"))
