@@ -54,16 +54,14 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    width = np.ones(n + 1, np.int64)
-    width[:n] = np.where(ids > 1, np.floor(np.log2(np.maximum(ids, np.uint64(1)).astype(np.float64))).astype(np.int64) + 1, 1)
-    low = (ids >> np.minimum(width[:n], 63).astype(np.uint64)) > 0  # float rounding
-    width[:n][low] += 1
+    width = np.maximum(np.frexp(ids.astype(np.float64))[1], 1)  # bits; at 2**53 and more rounding may add one, which is wide anyway
+    least = int(width.min())
     best = np.zeros(n, np.int8)  # selector by place; 0: escape
     for s in range(len(SELECTORS) - 1, 0, -1):
         count, bits = SELECTORS[s]
-        if count > n:
+        if count > n or bits < least:
             continue
-        bad = np.concatenate([[0], np.cumsum(width[:n] > bits)])
+        bad = np.concatenate([[0], np.cumsum(width > bits)])
         ok = np.flatnonzero(bad[count:] == bad[:-count])
         best[ok] = s
     step = np.array([1, *(c for c, _ in SELECTORS[1:])])[best].tolist()
@@ -139,36 +137,45 @@ def _encoder(path: str) -> Pieces:
 
 
 def encode_ids(df: DataFrame, key: str, text: str, path: str, pattern: str, end_id: int) -> DataFrame:
-    """key, ids binary (little-endian uint32, with the end id)."""
+    """key, ids binary (with the end id; little-endian, 2 bytes each, or 4 if wide), wide."""
     rows = df.select(F.col(key).alias("key"), pieces(text).alias("pieces"), leftover(text).alias("left"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _encoder(path)
         for batch in batches:
-            lists = split_here(batch.column(1), batch.column(2), pattern)
+            lists, keys, out, wide = split_here(batch.column(1), batch.column(2), pattern), batch.column(0), [], []
             offs = lists.offsets.to_numpy()
             flat = lists.values[offs[0] : offs[-1]] if len(lists) else lists.values
             ids, n = known.ids_of(known.numbers(flat))
             ends = np.concatenate([[0], np.cumsum(row_sums(n, (offs - offs[0]).astype(np.int64)))])
-            ids, tail = ids.astype("<u4"), np.array([end_id], "<u4").tobytes()
-            out = [ids[ends[k] : ends[k + 1]].tobytes() + tail for k in range(len(lists))]
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=["key", "ids"])
+            for k in range(len(lists)):
+                one = np.append(ids[ends[k] : ends[k + 1]], np.int32(end_id))
+                out.append(one.astype("<u2" if one.max() < 1 << 16 else "<u4").tobytes())
+                wide.append(bool(one.max() >= 1 << 16))
+            yield pa.record_batch([keys, pa.array(out, pa.binary()), pa.array(wide)], names=["key", "ids", "wide"])
 
-    return rows.mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, ids binary")
+    return rows.mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, ids binary, wide boolean")
 
 
-def write_token_files(ids: DataFrame, files: int, block_ids: int = 1 << 18, tag: str = "tokens") -> DataFrame:
-    """Write (key, ids) in ascending key order (null first) and return the dataset of blocks.
+def key_ranges(keys: DataFrame, files: int) -> list:
+    """Least keys of the second and later of about `files` ranges of the keys (a value per file)."""
+    cut = keys.select("key").where("key is not null").repartitionByRange(files, "key")
+    low = cut.groupBy(F.spark_partition_id()).agg(F.min("key").alias("k")).collect()
+    return sorted(r.k for r in low)[1:]
 
-    Columns: file int, block int, keys (of its documents), n_ids long, payload binary.
+
+def write_token_files(ids: DataFrame, cuts: list, block_ids: int = 1 << 18, tag: str = "tokens") -> DataFrame:
+    """Write (key, ids, wide) in ascending key order (null first) and return the dataset of blocks.
+
+    `cuts` are the least keys of all files but the first. Columns: file int,
+    block int, keys (of its documents), n_ids long, payload binary.
     """
     kind = ids.schema["key"].dataType.simpleString()
-    ordered = ids.repartitionByRange(files, F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "ids")
+    at = F.when(F.col("key").isNull(), 0).otherwise(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("key")))) if cuts else F.lit(0)
+    ordered = ids.withColumn("file", at.cast("int")).repartition(len(cuts) + 1, "file").sortWithinPartitions("file", F.col("key").asc_nulls_first(), "ids").select("key", "ids", "wide", "file")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        file, block, keys, parts, size = TaskContext.get().partitionId(), 0, [], [], 0
+        file, block, keys, parts, size = None, 0, [], [], 0
 
         def out() -> pa.RecordBatch:
             ends = np.cumsum([len(x) for x in parts])
@@ -178,18 +185,19 @@ def write_token_files(ids: DataFrame, files: int, block_ids: int = 1 << 18, tag:
 
         for batch in batches:
             key_type = batch.schema.field(0).type
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                one = np.frombuffer(x.as_py(), "<u4")
-                if parts and size + len(one) > block_ids:
+            for k, x, wide, f in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                one = np.frombuffer(x.as_py(), "<u4" if wide else "<u2")
+                if parts and (f != file or size + len(one) > block_ids):
                     yield out()
-                    block, keys, parts, size = block + 1, [], [], 0
+                    block, keys, parts, size = block + 1 if f == file else 0, [], [], 0
+                file = f
                 keys.append(k)
                 parts.append(one)
                 size += len(one)
         if parts:
             yield out()
 
-    return materialize(ordered.mapInArrow(run, f"file int, block int, keys array<{kind}>, n_ids long, payload binary"), tag, "uncompressed")
+    return materialize(ordered.mapInArrow(run, f"file int, block int, keys array<{kind}>, n_ids long, payload binary"), tag)
 
 
 def read_token_files(blocks: DataFrame) -> DataFrame:
@@ -226,4 +234,5 @@ def op2_token_files(spark, sf_dir: str) -> DataFrame:
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     ids = encode_ids(docs, "doc_id", "text", P.path("byte_bpe_50k.json"), P.PATTERN, 0)
-    return read_token_files(write_token_files(materialize(ids, "ids"), n_shuffle(spark))).withColumnRenamed("key", "doc_id")
+    cuts = key_ranges(docs.select(F.col("doc_id").alias("key")), n_shuffle(spark))
+    return read_token_files(write_token_files(ids, cuts)).withColumnRenamed("key", "doc_id")
