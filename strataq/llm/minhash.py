@@ -13,13 +13,14 @@ all further work is on classes. Within a bucket not all pairs are made:
 
 1. the class that shares most buckets is the bucket's hub; hub and members are
    compared, and links give components;
-2. pairs of members that are still in different components are compared;
-   where these are many, further hub rounds come first.
+2. after a second round with other hubs, members of a bucket that are still in
+   different components are compared: as pairs in small buckets, and in crowded ones
+   by tiles of two blocks of members, which only links leave.
 
 So a group of near copies costs pairs with its hubs only, and no pair whose
 outcome could change the result is left out. A pair is compared when sizes
-allow the threshold and 256 one-bit sketch values differ in at most 64 places
-(a pair at 0.75 differs in 32 on average, deviation 5.3: one in 10**8 is lost).
+allow the threshold and at most 111 of the 300 sketch values differ (by four bits
+of each: a pair at 0.75 differs in 70 on average, deviation 7.3: one in 10**7 is lost).
 Comparing means intersecting the full shingle sets, read again from whole texts.
 
 Defined results: a text without words (or null) has an empty set and is linked
@@ -42,6 +43,12 @@ from .components import connected_components
 
 WORDS, ROWS, BANDS = 5, 6, 50
 THRESHOLD = (75, 100)
+#: Four bits of each bin, in longs; bins that may differ in a pair to be compared.
+LONGS = -(-4 * ROWS * BANDS // 64)
+SKETCH = [f"s{k}" for k in range(LONGS)]
+MOST_DIFFER = 111
+#: Buckets of more open members than this are compared by tiles of BLOCK members a side.
+CROWD, BLOCK = 64, 512
 _LUT = np.arange(256, dtype=np.uint8)
 _LUT[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -155,16 +162,18 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa
                 z2 = np.concatenate([[np.uint64(0)], np.cumsum(mix64(h ^ _BYTE[9]), dtype=np.uint64)])
                 a = mix64((z[so[1:]] - z[so[:-1]]) + n.astype(np.uint64)).view(np.int64)
                 b = (z2[so[1:]] - z2[so[:-1]]).view(np.int64)
-            bits = np.packbits((sk[:, :256] & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+            nib = np.zeros((len(n), 16 * LONGS), np.uint8)
+            nib[:, : sk.shape[1]] = sk & np.uint64(15)
+            bits = (nib[:, 0::2] << 4 | nib[:, 1::2]).view(np.int64)
             bands = band_hashes(sk)
             bo = pa.array(np.arange(0, bands.size + 1, bands.shape[1], dtype=np.int32))
             yield pa.record_batch(
                 [
                     batch.column(0)[i:j], batch.column(1)[i:j], pa.array(n.astype(np.int64)), pa.array(a), pa.array(b),
-                    *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)),
+                    *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(LONGS)),
                     pa.ListArray.from_arrays(bo, pa.array(bands.ravel())),
                 ],
-                names=["key", "th", "n", "nid", "fp", "s0", "s1", "s2", "s3", "bands"],
+                names=["key", "th", "n", "nid", "fp", *SKETCH, "bands"],
             )
 
 
@@ -199,37 +208,91 @@ def _link_batches(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iter
 
 
 def _may_link(p: str, q: str) -> Column:
-    """Sizes allow the threshold, and the one-bit sketches are near."""
+    """Sizes allow the threshold, and the sketches (four bits of each bin) are near."""
     c = lambda t, x: F.col(f"{t}.{x}")
     num, den = THRESHOLD
     sizes = (F.least(c(p, "n"), c(q, "n")) * den) >= (F.greatest(c(p, "n"), c(q, "n")) * num)
-    differ = sum((F.bit_count(c(p, f"s{k}").bitwiseXOR(c(q, f"s{k}"))) for k in range(4)), F.lit(0))
-    return sizes & (differ <= 64)
-
-
-def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, slice_bytes: int) -> DataFrame:
-    """The pairs (u, v) whose full shingle sets reach the threshold."""
-    used = pairs.select(F.explode(F.array("u", "v")).alias("nid")).distinct()
-    texts = used.join(nodes.select("nid", "th"), "nid")
+    differ = F.lit(0)
+    for k in SKETCH:
+        x = c(p, k).bitwiseXOR(c(q, k))
+        y = x.bitwiseOR(F.shiftright(x, 1))
+        z = y.bitwiseOR(F.shiftright(y, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        differ = differ + F.bit_count(z)
+    return sizes & (differ <= MOST_DIFFER)
+
+
+def _sets(nodes: DataFrame, docs: DataFrame, slice_bytes: int) -> DataFrame:
+    """(nid, shingles): the full sorted shingle set of each class that shares a bucket, from whole texts read once."""
+    texts = nodes.select("nid", "th")
     whole = docs.select(F.md5(text_or_empty("text").cast("binary")).alias("th"), text_or_empty("text").alias("text"))
     rows = whole.join(texts, "th").select("nid", "text")
     sets = rows.mapInArrow(lambda it: _set_batches(it, slice_bytes), "nid long, shingles binary").dropDuplicates(["nid"])
-    sets = materialize(sets, "minhash-sets")
+    return materialize(sets, "minhash-sets")
+
+
+def _tile_links(t: pa.Table, num: int, den: int) -> pa.Table:
+    """Links between (or in) the one or two blocks of a tile: sketches first, then full sets."""
+    nid, label, blk, n = (t.column(c).to_numpy() for c in ("nid", "label", "blk", "n"))
+    bits = np.stack([t.column(c).to_numpy() for c in SKETCH], axis=1).astype("<i8").view(np.uint8)
+    nib = np.concatenate([bits >> 4, bits & 15], axis=1)
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles").combine_chunks()]
+    same = blk.min() == blk.max()
+    left, right = (np.arange(len(nid)),) * 2 if same else (np.flatnonzero(blk == blk.min()), np.flatnonzero(blk == blk.max()))
+    u, v = [], []
+    for i in left:
+        r = right[right > i] if same else right
+        r = r[(label[r] != label[i]) & (np.minimum(n[r], n[i]) * den >= np.maximum(n[r], n[i]) * num)]
+        r = r[np.count_nonzero(nib[r] != nib[i], axis=1) <= MOST_DIFFER]
+        for j in r.tolist():
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if den * both >= num * (len(sets[i]) + len(sets[j]) - both):
+                u.append(nid[i])
+                v.append(nid[j])
+    return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def _crowded_links(now: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between members of crowded buckets that are in different components, by tiles of blocks.
+
+    Members are blocked by groups of overlapping buckets, about BLOCK in each; two blocks meet in a
+    task if they share a bucket. Only links leave the task.
+    """
+    crowd = now.groupBy("bh").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > CROWD)
+    hot = materialize(now.join(crowd, "bh"), "minhash-crowded")
+    # members of buckets that overlap get one group: the most crowded bucket within two steps
+    slots = hot.select("bh", "nid")
+    at = hot.groupBy("nid").agg(F.max(F.struct("c", "bh")).alias("m"))
+    for _ in range(2):
+        of_bucket = slots.join(at, "nid").groupBy("bh").agg(F.max("m").alias("m"))
+        at = materialize(slots.join(of_bucket, "bh").groupBy("nid").agg(F.max("m").alias("m")), "minhash-groups")
+    size = at.groupBy("m").agg(F.count(F.lit(1)).alias("size"))
+    sub = F.pmod(F.xxhash64("nid", F.lit(1)), F.ceil(F.col("size") / BLOCK))
+    at = materialize(at.join(size, "m").select("nid", F.xxhash64("m.bh", sub).alias("blk")), "minhash-blocks")
+    seen = hot.select("bh", "nid").join(at, "nid").select("bh", "blk").distinct()
+    tiles = seen.select("bh", F.col("blk").alias("a")).join(seen.select("bh", F.col("blk").alias("b")), "bh").where("a <= b").select("a", "b").distinct()
+    sides = tiles.select(F.xxhash64("a", "b").alias("tile"), F.explode(F.array_distinct(F.array("a", "b"))).alias("blk"))
+    rows = at.join(hot.select("nid", "label", "n", *SKETCH).dropDuplicates(["nid"]), "nid").join(sets, "nid")
+    num, den = THRESHOLD
+    return materialize(sides.join(rows, "blk").groupBy("tile").applyInArrow(lambda t: _tile_links(t, num, den), "u long, v long"), "minhash-links")
+
+
+def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose full shingle sets reach the threshold."""
     one = pairs.join(sets.select(F.col("nid").alias("v"), F.col("shingles").alias("sv")), "v")
     two = one.join(sets.select(F.col("nid").alias("u"), F.col("shingles").alias("su")), "u").select("u", "v", "su", "sv")
     num, den = THRESHOLD
     return materialize(two.mapInArrow(lambda it: _link_batches(it, num, den), "u long, v long"), "minhash-links")
 
 
-def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", slice_bytes: int = 4 << 20, most_star_rounds: int = 3) -> DataFrame:
+def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", slice_bytes: int = 4 << 20, star_rounds: int = 2) -> DataFrame:
     """One row per document: key, n_shingles, component_id, kept."""
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = df.schema[key].dataType.simpleString()
     t = text_or_empty("text")
-    out = f"key {kind}, th string, n long, nid long, fp long, s0 long, s1 long, s2 long, s3 long, bands array<long>"
+    out = f"key {kind}, th string, n long, nid long, fp long, {', '.join(f'{c} long' for c in SKETCH)}, bands array<long>"
     rows = docs.select("key", F.md5(t.cast("binary")).alias("th"), t.alias("text")).mapInArrow(lambda it: _sketch_batches(it, slice_bytes), out)
     rows = materialize(rows, "minhash-rows")
-    firsts = [F.first(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3", "bands")]
+    firsts = [F.first(c).alias(c) for c in ("n", *SKETCH, "bands")]
     classes = materialize(rows.where("n > 0").withColumn("nid", F.xxhash64("nid", "fp")).groupBy("nid").agg(F.min("th").alias("th"), *firsts), "minhash-classes")
     slots = classes.select("nid", F.explode("bands").alias("bh"))
     shared = slots.groupBy("bh").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -238,40 +301,38 @@ def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", slice_byt
     nodes = materialize(weight.join(classes.drop("bands"), "nid"), "minhash-nodes")
     members = materialize(mem.select("bh", "nid").join(nodes.drop("th"), "nid"), "minhash-members")
 
+    sets = _sets(nodes, docs, slice_bytes)
     links, done = None, None
     labels = nodes.select("nid", F.col("nid").alias("label"))
-    for turn in range(most_star_rounds + 1):
-        now = members.join(labels, "nid") if turn else members.withColumn("label", F.col("nid"))
-        if turn:  # buckets that still hold several components
-            mixed = now.groupBy("bh").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("bh")
-            now = materialize(now.join(mixed, "bh"), "minhash-open")
-        cand = None
-        if turn:
-            every = now.alias("p").join(now.alias("q"), (F.col("p.bh") == F.col("q.bh")) & (F.col("p.nid") < F.col("q.nid")) & (F.col("p.label") != F.col("q.label")) & _may_link("p", "q"))
-            sizes = now.groupBy("bh").agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2), F.sum("c")).first()
-            if not sizes[1]:
-                break
-            if turn == most_star_rounds or sizes[0] <= 4 * sizes[1]:
-                cand = every.select(F.col("p.nid").alias("u"), F.col("q.nid").alias("v")).distinct()
-        last = cand is not None
-        if not last:
-            # a hub that has been compared with its bucket is out of the running
-            pick = F.max(F.struct(F.xxhash64("nid", F.lit(turn)) if turn else F.col("w"), *[F.col(c) for c in ("nid", "n", "s0", "s1", "s2", "s3", "label")]))
-            hubs = now.groupBy("bh").agg(pick.alias("h")).select("bh", "h.*")
-            star = hubs.alias("p").join(now.alias("q"), (F.col("p.bh") == F.col("q.bh")) & (F.col("p.nid") != F.col("q.nid")) & (F.col("p.label") != F.col("q.label")) & _may_link("p", "q"))
-            cand = star.select(F.least("p.nid", "q.nid").alias("x"), F.greatest("p.nid", "q.nid").alias("y"), F.col("p.nid").alias("u"), F.col("q.nid").alias("v"))
-            cand = cand.groupBy("x", "y").agg(F.min(F.struct("u", "v")).alias("p")).select("p.u", "p.v")
-        if done is not None:
-            gone = done.select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y"))
-            cand = cand.join(gone, (F.least("u", "v") == F.col("x")) & (F.greatest("u", "v") == F.col("y")), "left_anti")
-        cand = materialize(cand, "minhash-pairs")
-        if not cand.isEmpty():
-            found = _verify(cand, nodes, docs, slice_bytes)
-            links = found if links is None else links.unionByName(found)
-            done = cand if done is None else done.unionByName(cand)
-            labels = materialize(_labels(nodes, links), "minhash-labels")
-        if last:
+
+    def more(found: DataFrame) -> None:
+        nonlocal links, labels
+        links = found if links is None else links.unionByName(found)
+        labels = materialize(_labels(nodes, links), "minhash-labels")
+
+    for turn in range(star_rounds):
+        now = _open(members, labels) if turn else members.withColumn("label", F.col("nid"))
+        rank = F.xxhash64("nid", F.lit(turn)) if turn else F.col("w")
+        pick = F.max(F.struct(rank.alias("w"), *[F.col(c) for c in ("nid", "n", *SKETCH, "label")]))
+        hubs = now.groupBy("bh").agg(pick.alias("h")).select("bh", "h.*")
+        star = hubs.alias("p").join(now.alias("q"), (F.col("p.bh") == F.col("q.bh")) & (F.col("p.nid") != F.col("q.nid")) & (F.col("p.label") != F.col("q.label")) & _may_link("p", "q"))
+        # one hub for each member: pairs grow with the members, however many buckets a pair shares
+        mine = star.groupBy(F.col("q.nid").alias("v")).agg(F.max(F.struct(F.col("p.w").alias("w"), F.col("p.nid").alias("u"))).alias("h"))
+        cand = mine.groupBy(F.least("v", "h.u").alias("x"), F.greatest("v", "h.u").alias("y")).agg(F.min(F.struct(F.col("h.u").alias("u"), "v")).alias("p")).select("p.u", "p.v")
+        cand = materialize(_not_in(cand, done), "minhash-pairs")
+        if cand.isEmpty():
             break
+        done = cand if done is None else done.unionByName(cand)
+        more(_verify(cand, sets))
+    now = _open(members, labels)
+    few = now.join(now.groupBy("bh").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") <= CROWD).select("bh"), "bh")
+    every = few.alias("p").join(few.alias("q"), (F.col("p.bh") == F.col("q.bh")) & (F.col("p.nid") < F.col("q.nid")) & (F.col("p.label") != F.col("q.label")) & _may_link("p", "q"))
+    cand = materialize(_not_in(every.select(F.col("p.nid").alias("u"), F.col("q.nid").alias("v")).distinct(), done), "minhash-pairs")
+    if not cand.isEmpty():
+        more(_verify(cand, sets))
+        now = _open(members, labels)
+    if not now.groupBy("bh").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > CROWD).isEmpty():
+        more(_crowded_links(now, sets))
     node = F.xxhash64("nid", "fp")
     slim = rows.select("key", "n", F.when(F.col("n") > 0, node).alias("nid"))
     slim = slim.join(labels.where("nid != label").select("nid", "label"), "nid", "left").withColumn("comp", F.coalesce("label", "nid")).select("key", "n", "comp")
@@ -281,6 +342,20 @@ def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", slice_byt
     return full.select("key", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("key").eqNullSafe(comp).alias("kept"))
 
 
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members, with labels, of the buckets that hold several components."""
+    now = members.join(labels, "nid")
+    mixed = now.groupBy("bh").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("bh")
+    return materialize(now.join(mixed, "bh"), "minhash-open")
+
+
+def _not_in(pairs: DataFrame, done: DataFrame | None) -> DataFrame:
+    if done is None:
+        return pairs
+    gone = done.select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y"))
+    return pairs.join(gone, (F.least("u", "v") == F.col("x")) & (F.greatest("u", "v") == F.col("y")), "left_anti")
+
+
 def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     cc = connected_components(links.select("u", "v"))
     return nodes.select("nid").join(cc.withColumnRenamed("node", "nid"), "nid", "left").select("nid", F.coalesce("label", "nid").alias("label"))
