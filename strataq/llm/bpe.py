@@ -24,12 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ragged_take
+from .common import byte_slices
 from .pieces import Pieces, leftover, pieces, row_sums, split_here
 
+#: Pieces that a worker expands together: bounds its memory.
+PIECES_AT_ONCE = 400_000
 _workers: dict[str, "DuckBpe"] = {}
 
 #: Contract the leftmost minimum-rank pair of every live piece, until none has one.
@@ -72,7 +75,7 @@ class DuckBpe:
                     r.append(y)
                     m.append(i)
         self.ranks, self.of_byte = ranks, np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB"})
         i32 = pa.int32()
         self._table("merges", l=pa.array(l, i32), r=pa.array(r, i32), m=pa.array(m, i32))
         self._table("vocab", t=pa.array(list(ranks.values()), i32), hex=pa.array([b.hex() for b in ranks]))
@@ -82,7 +85,7 @@ class DuckBpe:
         self.db.execute(f"create or replace table {name} as select * from _in")
         self.db.unregister("_in")
 
-    def encode_pieces(self, words: list[str], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    def encode_pieces(self, words: list[str], at_once: int = 10_000) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in order, ids in each)."""
         ids, lens = [], []
         for i in range(0, len(words), at_once):
@@ -150,18 +153,20 @@ def _map_pieces(df: DataFrame, key: str, text: str, row, out: str, path: str, pa
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, known = worker(path)
         for batch in batches:
             lists = split_here(batch.column(1), batch.column(2), pattern)
-            offs = lists.offsets.to_numpy()
-            flat = lists.values[offs[0] : offs[-1]] if len(lists) else lists.values
-            offs = (offs - offs[0]).astype(np.int64)
-            num = known.numbers(flat)
-            ids, n = known.ids_of(num)
-            raw, m = known.raw_of(num)
-            i, j = np.concatenate([[0], np.cumsum(row_sums(n, offs))]), np.concatenate([[0], np.cumsum(row_sums(m, offs))])
-            vals = [row(ids[i[k] : i[k + 1]], raw[j[k] : j[k + 1]]) for k in range(len(lists))]
-            yield pa.record_batch([batch.column(0), *(pa.array(c) for c in zip(*vals, strict=True))], names=["key", *names]) if vals else pa.record_batch([batch.column(0), *(pa.array([], t) for t in kinds)], names=["key", *names])
+            for a, b in byte_slices(pc.list_value_length(lists).to_numpy(zero_copy_only=False), PIECES_AT_ONCE):
+                yield one(batch.column(0)[a:b], lists[a:b])
+
+    def one(keys: pa.Array, lists: pa.ListArray) -> pa.RecordBatch:
+        _, known = worker(path)
+        offs = lists.offsets.to_numpy().astype(np.int64)
+        num = known.numbers(lists.values[offs[0] : offs[-1]])
+        ids, n = known.ids_of(num)
+        raw, m = known.raw_of(num)
+        i, j = (np.concatenate([[0], np.cumsum(row_sums(x, offs - offs[0]))]) for x in (n, m))
+        vals = [row(ids[i[k] : i[k + 1]], raw[j[k] : j[k + 1]]) for k in range(len(lists))]
+        return pa.record_batch([keys, *(pa.array(c, t) for c, t in zip(zip(*vals, strict=True), kinds, strict=True))], names=["key", *names])
 
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema

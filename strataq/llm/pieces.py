@@ -53,7 +53,7 @@ def split_here(lists: pa.ListArray, left: pa.StringArray, pattern: str) -> pa.Li
 class Pieces:
     """Dictionary of pieces: ids (int32) and, if asked for, decoded bytes, both ragged."""
 
-    def __init__(self, encode: Callable, most: int = 400_000) -> None:
+    def __init__(self, encode: Callable, most: int = 600_000) -> None:
         self.encode, self.most = encode, most
         self.clear()
 
