@@ -17,6 +17,8 @@ table gives an empty result; columns other than key and text are not read.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,52 +27,70 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, materialize, text_or_empty
 from .license_rules import rules
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words; upper-case letters are part of words and lower-cased later.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Base phrases and their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
 
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), an array, with the value computed once and not at each use inside a lambda."""
+    return F.flatten(F.transform(F.array(value), body))
+
+
 def _places(words: Column, phrase: str) -> Column:
     """Starts of a phrase, as word numbers."""
     parts = phrase.split()
 
-    def here(i: Column) -> Column:
-        return reduce(lambda a, b: a & b, [F.coalesce(F.get(words, i + k) == p, F.lit(False)) for k, p in enumerate(parts)])
+    def here(w: Column, i: Column) -> Column:
+        return reduce(lambda a, b: a & b, [F.coalesce(F.get(w, i + k) == p, F.lit(False)) for k, p in enumerate(parts)])
 
-    return F.filter(F.sequence(F.lit(0), F.size(words) - 1), here)
+    return _bind(words, lambda w: F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: here(w, i)))
 
 
-def _spans(joined: Column) -> Column:
-    """array<struct<s, e, p, rule, label, conf>> of all rules whose keyword the text holds."""
-    table = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(kw).alias("kw"), F.lit(rx).alias("rx"), F.lit(p).alias("p"), F.lit(c).alias("conf")) for i, label, kw, rx, p, c in rules()])
+def _trie(words: list[str]) -> str:
+    """A regex for any of the words (as prefixes) that reads each character once."""
+    if "" in words:
+        return ""
+    by_first: dict[str, list[str]] = {}
+    for w in words:
+        by_first.setdefault(w[0], []).append(w[1:])
+    parts = [re.escape(c) + _trie(rest) for c, rest in sorted(by_first.items())]
+    return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
 
-    def of_rule(r: Column) -> Column:
-        found = F.regexp_extract_all(joined, r["rx"], F.lit(0))
-        both = F.filter(F.array(F.struct(found.alias("m"), F.lit(1).alias("x"))), lambda z: F.size(z["m"]) > 0)
 
-        def place(z: Column) -> Column:
-            m = z["m"]
-            gaps = F.split(joined, r["rx"], -1)
-            # running (end so far, spans): the k-th match stands after the k-th gap
-            lens = F.transform(F.sequence(F.lit(0), F.size(m) - 1), lambda k: F.struct(F.char_length(F.get(gaps, k)).alias("g"), F.char_length(F.get(m, k)).alias("l")))
-            return F.struct(lens.alias("lens"), r["p"].alias("p"), r["rule"].alias("rule"), r["label"].alias("label"), r["conf"].alias("conf"))
+def _spans(joined: Column) -> Column:
+    """array<struct<lens, p, rule, label, conf>> of all rules whose keyword the text holds.
+
+    Every rule's regex is a constant of the plan, so that it is compiled once, not
+    for every text; only what a rule found is looked at by a lambda.
+    """
+    by_keyword: dict[str, list[Column]] = {}
+    for i, label, kw, rx, p, c in rules():
+        found = F.regexp_extract_all(joined, F.lit(rx), F.lit(0))
+        by_keyword.setdefault(kw, []).append(F.struct(found.alias("m"), F.lit(rx).alias("rx"), F.lit(p).alias("p"), F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(c).alias("conf")))
+    held = F.flatten(F.array_compact(F.array(*[F.when(F.contains(joined, F.lit(kw)), F.array(*r)) for kw, r in by_keyword.items()])))
 
-        return F.transform(both, place)
+    def place(z: Column) -> Column:
+        # the k-th match stands after the k-th gap
+        lens = _bind(F.split(joined, z["rx"], -1), lambda gaps: F.transform(z["m"], lambda m, k: F.struct(F.char_length(F.get(gaps, k)).alias("g"), F.char_length(m).alias("l"))))
+        return F.struct(lens.alias("lens"), z["p"].alias("p"), z["rule"].alias("rule"), z["label"].alias("label"), z["conf"].alias("conf"))
 
-    return F.flatten(F.transform(F.filter(table, lambda r: F.contains(joined, r["kw"])), of_rule))
+    return F.transform(F.filter(held, lambda z: F.size(z["m"]) > 0), place)
 
 
 def license_scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     t = text_or_empty(text)
-    words = df.select(F.col(key).alias("key"), F.xxhash64(t).alias("h"), F.regexp_extract_all(ascii_lower(t), F.lit(WORD), F.lit(0)).alias("w"))
-    joined = words.select("key", "h", "w", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("j"))
-    keywords = sorted({r[2] for r in rules()})
-    gate = F.col("j").rlike("(?: |^)(?:" + "|".join(keywords) + ")")
+    words = df.select(F.col(key).alias("key"), F.xxhash64(t).alias("h"), F.regexp_replace(F.concat(F.lit(" "), t, F.lit(" ")), BETWEEN, " ").alias("w"))
+    # lower() also changes non-ASCII letters: good enough for the gate, which it can only widen
+    gate = F.lower("w").rlike(" " + _trie(sorted({r[2] for r in rules()})))
+    n_words = F.char_length("w") - F.char_length(F.replace("w", F.lit(" "), F.lit(""))) - 1
+    joined = words.select("key", "h", n_words.cast("long").alias("n_words"), F.when(gate, ascii_lower(F.col("w"))).alias("j"))
     none = F.array().cast("array<int>")
-    base = [F.when(F.contains(F.col("j"), F.lit(f" {p} ")), _places(F.col("w"), p)).otherwise(none).alias(f"b{i}") for i, (p, _) in enumerate(BASE)]
-    spans = F.when(gate, _spans(F.col("j")))
-    flat = materialize(joined.select("key", "h", F.size("w").cast("long").alias("n_words"), *base, spans.alias("spans")), "license")
+    base = [F.when(F.contains(F.col("j"), F.lit(f" {p} ")), _places(F.split(F.trim("j"), " "), p)).otherwise(none).alias(f"b{i}") for i, (p, _) in enumerate(BASE)]
+    spans = F.when(F.col("j").isNotNull(), _spans(F.col("j")))
+    flat = materialize(joined.select("key", "h", "n_words", *base, spans.alias("spans")), "license")
 
     found = flat.where(F.size("spans") > 0).select("key", "h", F.explode("spans").alias("r"))
     places = found.select("key", "h", "r.p", "r.rule", "r.label", "r.conf", F.posexplode("r.lens").alias("k", "x"))
