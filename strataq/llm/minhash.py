@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, materialize, mix64, text_or_empty
+from .common import byte_slices, materialize, mix64, release, text_or_empty
 from .components import connected_components
 
 WORDS, ROWS, BANDS = 5, 6, 50
@@ -207,18 +207,29 @@ def _link_batches(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iter
         yield pa.record_batch([a.filter(m), b.filter(m)], names=["u", "v"])
 
 
-def _may_link(p: str, q: str) -> Column:
-    """Sizes allow the threshold, and the sketches (four bits of each bin) are near."""
-    c = lambda t, x: F.col(f"{t}.{x}")
+def _sizes_fit(p: str, q: str) -> Column:
+    """The set sizes allow the threshold."""
     num, den = THRESHOLD
-    sizes = (F.least(c(p, "n"), c(q, "n")) * den) >= (F.greatest(c(p, "n"), c(q, "n")) * num)
+    a, b = F.col(f"{p}.n"), F.col(f"{q}.n")
+    return (F.least(a, b) * den) >= (F.greatest(a, b) * num)
+
+
+def _sketches_near(p: str, q: str) -> Column:
+    """At most MOST_DIFFER bins differ, by four bits of each."""
     differ = F.lit(0)
     for k in SKETCH:
-        x = c(p, k).bitwiseXOR(c(q, k))
+        x = F.col(f"{p}.{k}").bitwiseXOR(F.col(f"{q}.{k}"))
         y = x.bitwiseOR(F.shiftright(x, 1))
         z = y.bitwiseOR(F.shiftright(y, 2)).bitwiseAND(F.lit(0x1111111111111111))
         differ = differ + F.bit_count(z)
-    return sizes & (differ <= MOST_DIFFER)
+    return differ <= MOST_DIFFER
+
+
+def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The distinct pairs (u, v) whose sketches are near: a sketch moves once a pair, not once a bucket."""
+    sk = nodes.select("nid", *SKETCH)
+    both = pairs.alias("z").join(sk.alias("p"), F.col("z.u") == F.col("p.nid")).join(sk.alias("q"), F.col("z.v") == F.col("q.nid"))
+    return both.where(_sketches_near("p", "q")).select("z.*")
 
 
 def _sets(nodes: DataFrame, docs: DataFrame, slice_bytes: int) -> DataFrame:
@@ -251,7 +262,7 @@ def _tile_links(t: pa.Table, num: int, den: int) -> pa.Table:
     return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def _crowded_links(now: DataFrame, sets: DataFrame) -> DataFrame:
+def _crowded_links(now: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between members of crowded buckets that are in different components, by tiles of blocks.
 
     Members are blocked by groups of overlapping buckets, about BLOCK in each; two blocks meet in a
@@ -271,7 +282,7 @@ def _crowded_links(now: DataFrame, sets: DataFrame) -> DataFrame:
     seen = hot.select("bh", "nid").join(at, "nid").select("bh", "blk").distinct()
     tiles = seen.select("bh", F.col("blk").alias("a")).join(seen.select("bh", F.col("blk").alias("b")), "bh").where("a <= b").select("a", "b").distinct()
     sides = tiles.select(F.xxhash64("a", "b").alias("tile"), F.explode(F.array_distinct(F.array("a", "b"))).alias("blk"))
-    rows = at.join(hot.select("nid", "label", "n", *SKETCH).dropDuplicates(["nid"]), "nid").join(sets, "nid")
+    rows = at.join(hot.select("nid", "label", "n").dropDuplicates(["nid"]), "nid").join(nodes.select("nid", *SKETCH), "nid").join(sets, "nid")
     num, den = THRESHOLD
     return materialize(sides.join(rows, "blk").groupBy("tile").applyInArrow(lambda t: _tile_links(t, num, den), "u long, v long"), "minhash-links")
 
@@ -299,7 +310,9 @@ def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", slice_byt
     mem = materialize(slots.join(shared, "bh"), "minhash-buckets")
     weight = mem.groupBy("nid").agg(F.sum("c").alias("w"))
     nodes = materialize(weight.join(classes.drop("bands"), "nid"), "minhash-nodes")
-    members = materialize(mem.select("bh", "nid").join(nodes.drop("th"), "nid"), "minhash-members")
+    members = materialize(mem.select("bh", "nid").join(nodes.select("nid", "n", "w"), "nid"), "minhash-members")
+    release(classes)
+    release(mem)
 
     sets = _sets(nodes, docs, slice_bytes)
     links, done = None, None
@@ -313,11 +326,12 @@ def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", slice_byt
     for turn in range(star_rounds):
         now = _open(members, labels) if turn else members.withColumn("label", F.col("nid"))
         rank = F.xxhash64("nid", F.lit(turn)) if turn else F.col("w")
-        pick = F.max(F.struct(rank.alias("w"), *[F.col(c) for c in ("nid", "n", *SKETCH, "label")]))
+        pick = F.max(F.struct(rank.alias("w"), "nid", "n", "label"))
         hubs = now.groupBy("bh").agg(pick.alias("h")).select("bh", "h.*")
-        star = hubs.alias("p").join(now.alias("q"), (F.col("p.bh") == F.col("q.bh")) & (F.col("p.nid") != F.col("q.nid")) & (F.col("p.label") != F.col("q.label")) & _may_link("p", "q"))
+        star = hubs.alias("p").join(now.alias("q"), (F.col("p.bh") == F.col("q.bh")) & (F.col("p.nid") != F.col("q.nid")) & (F.col("p.label") != F.col("q.label")) & _sizes_fit("p", "q"))
+        meet = star.groupBy(F.col("p.nid").alias("u"), F.col("q.nid").alias("v")).agg(F.max("p.w").alias("w"))
         # one hub for each member: pairs grow with the members, however many buckets a pair shares
-        mine = star.groupBy(F.col("q.nid").alias("v")).agg(F.max(F.struct(F.col("p.w").alias("w"), F.col("p.nid").alias("u"))).alias("h"))
+        mine = _near(meet, nodes).groupBy("v").agg(F.max(F.struct("w", "u")).alias("h"))
         cand = mine.groupBy(F.least("v", "h.u").alias("x"), F.greatest("v", "h.u").alias("y")).agg(F.min(F.struct(F.col("h.u").alias("u"), "v")).alias("p")).select("p.u", "p.v")
         cand = materialize(_not_in(cand, done), "minhash-pairs")
         if cand.isEmpty():
@@ -325,14 +339,14 @@ def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", slice_byt
         done = cand if done is None else done.unionByName(cand)
         more(_verify(cand, sets))
     now = _open(members, labels)
-    few = now.join(now.groupBy("bh").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") <= CROWD).select("bh"), "bh")
-    every = few.alias("p").join(few.alias("q"), (F.col("p.bh") == F.col("q.bh")) & (F.col("p.nid") < F.col("q.nid")) & (F.col("p.label") != F.col("q.label")) & _may_link("p", "q"))
+    few = now.join(now.groupBy("bh").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") <= CROWD).select("bh"), "bh").join(nodes.select("nid", *SKETCH), "nid")
+    every = few.alias("p").join(few.alias("q"), (F.col("p.bh") == F.col("q.bh")) & (F.col("p.nid") < F.col("q.nid")) & (F.col("p.label") != F.col("q.label")) & _sizes_fit("p", "q") & _sketches_near("p", "q"))
     cand = materialize(_not_in(every.select(F.col("p.nid").alias("u"), F.col("q.nid").alias("v")).distinct(), done), "minhash-pairs")
     if not cand.isEmpty():
         more(_verify(cand, sets))
         now = _open(members, labels)
     if not now.groupBy("bh").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > CROWD).isEmpty():
-        more(_crowded_links(now, sets))
+        more(_crowded_links(now, nodes, sets))
     node = F.xxhash64("nid", "fp")
     slim = rows.select("key", "n", F.when(F.col("n") > 0, node).alias("nid"))
     slim = slim.join(labels.where("nid != label").select("nid", "label"), "nid", "left").withColumn("comp", F.coalesce("label", "nid")).select("key", "n", "comp")
