@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as
 Parquet and reads it again for the next one. All stages but the last return the
-columns of documents. A document has one doc_id; of repeated rows with equal
-doc_id and text the dedup stages keep one.
+columns of documents. A document is a row: doc_ids may repeat or be null, and
+rows are told apart by a number of their own. Of rows with equal text the dedup
+stages keep one, whatever their doc_ids.
 """
 
 from __future__ import annotations
@@ -15,10 +16,9 @@ from strataq.llm import bpe, exact_dedup, language_id, minhash, mixing
 from strataq.llm.common import materialize
 
 
-def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among keys (null included)."""
-    k = keys.select(F.col("key").alias("_key"))
-    return docs.join(k, docs["doc_id"].eqNullSafe(k["_key"]), "left_semi")
+def _numbered(docs: DataFrame, tag: str) -> DataFrame:
+    """docs with a unique _row in the written order; written, so that every reading has the same numbers."""
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), tag)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,19 +28,24 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = exact_dedup.exact_dedup(docs).where("kept")
-    return _only(docs, kept).dropDuplicates(["doc_id"])
+    rows = _numbered(docs, "pipeline-exact-rows")
+    kept = exact_dedup.exact_dedup(rows, row="_row").where("kept").select("_row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays."""
-    return _only(docs, minhash.near_dedup(docs).where("kept"))
+    """Of each group of linked documents the one with the smallest doc_id (null last), then the first row, stays."""
+    rows = _numbered(docs, "pipeline-near-rows")
+    keyed = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("key"), "text")
+    kept = minhash.near_dedup(keyed, key="key").where("kept").select("key._row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    m = mixing.mix(docs).where("copies > 0").select(F.col("key").alias("_key"), "copies")
-    out = docs.join(m, docs["doc_id"].eqNullSafe(m["_key"])).withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies")))
+    rows = _numbered(docs, "pipeline-mix-rows")
+    m = mixing.mix(rows, row="_row").where("copies > 0").select("_row", "copies")
+    out = rows.join(m, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies")))
     return out.select(*docs.columns)
 
 

@@ -96,13 +96,13 @@ def _local_fold(batches: Iterator[pa.RecordBatch], schema: pa.Schema, table_byte
     for batch in batches:
         rids, lids = [], []
         keys, cps, sha = (batch.column(i).to_pylist() for i in (0, 1, 2))
-        content = batch.column(3)
+        content, own = batch.column(3), batch.column(4).to_pylist() if batch.num_columns > 4 else None
         for i, (key, n_cp, s) in enumerate(zip(keys, cps, sha, strict=True)):
-            c = content[i].as_py()
+            c, rid = content[i].as_py(), own[i] if own else pid + seq
             if table.bytes + len(c) > table_bytes and table.content:
                 yield flush()
             k, new = table.put(int(s[:15], 16), c)
-            r = _rank(n_cp, key, pid + seq)
+            r = _rank(n_cp, key, rid)
             if new:
                 best.append(r)
                 count.append(1)
@@ -110,7 +110,7 @@ def _local_fold(batches: Iterator[pa.RecordBatch], schema: pa.Schema, table_byte
             else:
                 best[k] = min(best[k], r)
                 count[k] += 1
-            rids.append(pid + seq)
+            rids.append(rid)
             lids.append(pid + groups + k)
             seq += 1
         none = [None] * len(rids)
@@ -175,18 +175,18 @@ def _resolve(groups: DataFrame, key_type: str, budget: int, level: int = 0) -> D
     return done.unionByName(rest) if rest is not None else done
 
 
-def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """One row per record: key, keep_id, group_size, kept, text_sha256."""
+def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", table_bytes: int = TABLE_BYTES, row: str | None = None) -> DataFrame:
+    """One row per record: key, keep_id, group_size, kept, text_sha256; with `row`, a column of unique longs in the written order, that column too."""
     t = text_or_empty(text)
     norm = F.translate(t, _BLANK, "")
     key_type = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("key"), F.char_length(t).alias("n_cp"), F.sha2(norm.cast("binary"), 256).alias("sha"), norm.cast("binary").alias("content"))
+    rows = df.select(F.col(key).alias("key"), F.char_length(t).alias("n_cp"), F.sha2(norm.cast("binary"), 256).alias("sha"), norm.cast("binary").alias("content"), *([F.col(row)] if row else []))
     out = T.StructType.fromDDL(_LEVEL0.format(key=key_type))
     schema = _arrow(out)
     level0 = materialize(rows.mapInArrow(lambda it: _local_fold(it, schema, table_bytes), out), "dedup")
     resolved = _resolve(level0.where("n is not null"), key_type, table_bytes)
     members = level0.where("n is null").select("rid", "key", "lid", "sha")
-    return members.join(resolved, "lid").select("key", F.col("keep_key").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), F.col("sha").alias("text_sha256"))
+    return members.join(resolved, "lid").select("key", F.col("keep_key").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), F.col("sha").alias("text_sha256"), *([F.col("rid").alias(row)] if row else []))
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:

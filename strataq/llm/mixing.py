@@ -61,8 +61,9 @@ def source_plan(sized: DataFrame, weights: Sequence[float], budget_share: float,
     return spark.createDataFrame(rows, "source string, source_size long, target double")
 
 
-def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1), budget_share: float = 1.0, max_repeat: int = 3, seed: int = 7, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row per document: key, rid (row id), source, size, source_size, target, copies, taken."""
+def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1), budget_share: float = 1.0, max_repeat: int = 3, seed: int = 7, block_rows: int = BLOCK_ROWS, row: str | None = None) -> DataFrame:
+    """One row per document: key, source, size, source_size, target, copies, taken; with `row`, a column of unique values, that column too."""
+    ids = [row] if row else []
     n_words = F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")
     sized = materialize(
         df.select(
@@ -70,6 +71,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
             F.col(source).cast("string").alias("source"),
             n_words.alias("size"),
             F.xxhash64(stable_key(F.col(key)), F.lit(seed)).alias("h"),
+            *ids,
         ),
         "mix",
     )
@@ -78,7 +80,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     width = float(2**64) / blocks
     placed = sized.join(plan.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     placed = placed.withColumn("blk", F.floor((F.col("h").cast("double") + float(2**63)) / F.lit(width)).cast("int"))
-    queue = blocked_prefix(placed, ["source"], ["h", "key", "size"], "size", "blk", "cum")
+    queue = blocked_prefix(placed, ["source"], ["h", "key", "size", *ids], "size", "blk", "cum")
     # every served pass of a document, with its virtual finish time; 1.0 is when all targets are met
     share = F.when(F.col("target") > 0, (F.col("pass") * F.col("source_size") + F.col("cum")) / F.col("target"))
     served = (
@@ -100,7 +102,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
     out = queue.join(got, same, "left")
     copies = F.coalesce(F.col("copies"), F.lit(0)).cast("int")
-    return out.select("key", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return out.select("key", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *ids)
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

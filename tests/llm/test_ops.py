@@ -301,3 +301,32 @@ def test_pipeline(spark):
         assert docs.columns == cols and docs.count() > 0, name
     out = p.STAGES[-1][1](spark, docs, "")
     assert out.count() == docs.count()
+
+
+def test_pipeline_keeps_rows_of_shared_and_null_ids(spark):
+    import corpus_pipeline as p
+
+    one = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    rows = [(None, one(k)) for k in range(4)] + [(7, one(10)), (7, one(11)), (8, one(12))]
+    rows += [(7, one(12)), (8, one(13)), (None, one(10).replace(" ", "\n")), (7, one(11)), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int").repartition(3).cache()
+    best = {}
+    for i, t in rows:
+        k, rank = re.sub(r"[\x20\x09-\x0D]", "", t or ""), (-len(t or ""), i is None, i or 0)
+        if k not in best or rank < best[k][0]:
+            best[k] = rank, i, t or ""
+    want = collections.Counter((i, t) for _, i, t in best.values())
+    got = p.drop_exact_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    assert collections.Counter((r.doc_id, r.text or "") for r in got.collect()) == want
+
+    # a near copy goes though its doc_id is that of a kept row, and the smallest doc_id stays (null last)
+    near = [(7, one(20)), (3, one(20) + " more"), (7, one(21)), (None, one(22)), (None, one(22) + " more"), (None, one(23)), (9, one(23) + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in near], docs.schema).repartition(3).cache()
+    got = [(r.doc_id, r.text) for r in p.drop_near_copies(spark, docs, "").collect()]
+    assert sorted((i, t) for i, t in got if i) == sorted([near[1], near[2], near[6]])
+    assert len(got) == 4 and {t for i, t in got if i is None} < {near[3][1], near[4][1]}
+
+    # one source under its target: every row is taken once, not once for each row of its doc_id
+    got = p.mix_sources(spark, docs, "").collect()
+    assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter(near)
