@@ -24,16 +24,18 @@ half-written or double file.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, n_shuffle
+from .common import materialize, n_shuffle, text_or_empty
 from .pieces import Pieces, leftover, pieces, row_sums, split_here
 
 #: Fixed values of the format: (ids in a word, bits of each) by selector.
@@ -41,7 +43,7 @@ SELECTORS = ((0, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7
 ESCAPE = 0
 MAGIC = b"S8B1"
 WIDEST = 30
-_vocab: dict[str, Pieces] = {}
+_vocab: dict[str, tuple[Pieces, Callable]] = {}
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,13 +116,19 @@ def read_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return unpack(words, esc, n), ends.astype(np.int64)
 
 
-def _encoder(path: str) -> Pieces:
+def _added(path: str) -> list[str]:
+    """Contents of the tokenizer's added tokens."""
+    with open(path, encoding="utf-8") as f:
+        return [t["content"] for t in json.load(f)["added_tokens"]]
+
+
+def _encoder(path: str) -> tuple[Pieces, Callable]:
+    """The dictionary of pieces, and the encoding of one whole text."""
     if path not in _vocab:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
         batch = getattr(tok, "encode_batch_fast", tok.encode_batch)
 
         def encode(words: list[str]):
@@ -132,24 +140,30 @@ def _encoder(path: str) -> Pieces:
             none = np.zeros(len(words), np.int64)
             return np.concatenate(ids), np.array(lens, np.int64), np.empty(0, np.uint8), none
 
-        _vocab[path] = Pieces(encode)
+        _vocab[path] = Pieces(encode), lambda t: np.array(batch([t], add_special_tokens=False)[0].ids, np.int32)
     return _vocab[path]
 
 
 def encode_ids(df: DataFrame, key: str, text: str, path: str, pattern: str, end_id: int) -> DataFrame:
-    """key, ids binary (with the end id; little-endian, 2 bytes each, or 4 if wide), wide."""
-    rows = df.select(F.col(key).alias("key"), pieces(text).alias("pieces"), leftover(text).alias("left"))
+    """key, ids binary (with the end id; little-endian, 2 bytes each, or 4 if wide), wide.
+
+    Added tokens of the tokenizer go before the piece split: texts that hold one are encoded whole.
+    """
+    t = text_or_empty(text)
+    held = reduce(lambda a, b: a | b, [F.contains(t, F.lit(c)) for c in _added(path)], F.lit(False))
+    rows = df.select(F.col(key).alias("key"), pieces(text).alias("pieces"), leftover(text).alias("left"), F.when(held, t).alias("whole"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _encoder(path)
+        known, encode_whole = _encoder(path)
         for batch in batches:
             lists, keys, out, wide = split_here(batch.column(1), batch.column(2), pattern), batch.column(0), [], []
-            offs = lists.offsets.to_numpy()
+            offs, whole = lists.offsets.to_numpy(), batch.column(3)
             flat = lists.values[offs[0] : offs[-1]] if len(lists) else lists.values
             ids, n = known.ids_of(known.numbers(flat))
             ends = np.concatenate([[0], np.cumsum(row_sums(n, (offs - offs[0]).astype(np.int64)))])
             for k in range(len(lists)):
-                one = np.append(ids[ends[k] : ends[k + 1]], np.int32(end_id))
+                one = encode_whole(t) if (t := whole[k].as_py()) is not None else ids[ends[k] : ends[k + 1]]
+                one = np.append(one, np.int32(end_id))
                 out.append(one.astype("<u2" if one.max() < 1 << 16 else "<u4").tobytes())
                 wide.append(bool(one.max() >= 1 << 16))
             yield pa.record_batch([keys, pa.array(out, pa.binary()), pa.array(wide)], names=["key", "ids", "wide"])

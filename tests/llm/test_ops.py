@@ -330,3 +330,22 @@ def test_pipeline_keeps_rows_of_shared_and_null_ids(spark):
     # one source under its target: every row is taken once, not once for each row of its doc_id
     got = p.mix_sources(spark, docs, "").collect()
     assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter(near)
+
+
+def test_token_files_added_tokens(spark):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    mark = "<|endoftext|>"
+    texts = ["a <|endoftext|> b", mark, mark * 3, f"x{mark}y  {mark}\n\n{mark} z", f"{mark} \u0378 é 😀", "<|endoftext|", "< |endoftext|>", "<|ENDOFTEXT|>", "plain words", "", None]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    ids = token_files.encode_ids(df, "doc_id", "text", path, P.PATTERN, 0)
+    got = {r.key: r for r in token_files.read_token_files(token_files.write_token_files(ids, [5], block_ids=10)).collect()}
+    tok, start = Tokenizer.from_file(path), 0
+    assert 50256 in tok.encode(texts[0], add_special_tokens=False).ids
+    for i, t in rows:
+        x = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(x), zlib.crc32(np.array(x, "<u4").tobytes())), t
+        start += len(x)
