@@ -7,7 +7,7 @@ family in a sentence of licensing, 1 a bare name.
 
 from __future__ import annotations
 
-#: Label -> (keyword, patterns of the license's name as words).
+#: Label -> (keyword that begins a word of every match, patterns of the license's name as words).
 NAMES = {
     "afl-3.0": ("academic", ["academic free license(?: v| version)? 3(?: 0)?"]),
     "agpl-1.0": ("affero", ["affero general public license(?: v| version)? 1(?: 0)?"]),
@@ -75,7 +75,8 @@ NAMES = {
     "mit-0": ("mit", ["mit no attribution", "mit 0 license"]),
     "mpl-1.0": ("mozilla", ["mozilla public license(?: v| version)? 1(?: 0)?"]),
     "mpl-1.1": ("mozilla", ["mozilla public license(?: v| version)? 1 1"]),
-    "mpl-2.0": ("mozilla", ["mozilla public license(?: v| version)? 2(?: 0)?", "mpl ?v?2(?: 0)?"]),
+    "mpl-2.0": ("mozilla", ["mozilla public license(?: v| version)? 2(?: 0)?"]),
+    "mpl-2.0-short": ("mpl", ["mpl ?v?2(?: 0)?"]),
     "ms-pl": ("microsoft", ["microsoft public license"]),
     "ms-rl": ("microsoft", ["microsoft reciprocal license"]),
     "mulan-2.0": ("mulan", ["mulan (?:permissive software|psl)(?: license)?(?: v)?2?"]),
@@ -95,7 +96,8 @@ NAMES = {
     "upl-1.0": ("universal", ["universal permissive license(?: v| version)?(?: 1 0)?"]),
     "vim": ("vim", ["vim license"]),
     "w3c": ("w3c", ["w3c software(?: notice)?(?: and)?(?: document)?(?: notice and)? license"]),
-    "wtfpl": ("wtfpl", ["wtfpl(?: version)?(?: 2)?", "do what the fuck you want to public license"]),
+    "wtfpl": ("wtfpl", ["wtfpl(?: version)?(?: 2)?"]),
+    "wtfpl-name": ("want", ["do what the fuck you want to public license"]),
     "zlib": ("zlib", ["zlib(?: libpng)? license"]),
     "zpl-2.1": ("zope", ["zope public license(?: version)? 2 1"]),
 }

@@ -349,3 +349,44 @@ def test_token_files_added_tokens(spark):
         x = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(x), zlib.crc32(np.array(x, "<u4").tobytes())), t
         start += len(x)
+
+
+def _some_match(tree, pick):
+    """A text that the parsed regex matches; pick(n) chooses among n ways."""
+    out = []
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out.append(chr(arg))
+        elif op == "IN":
+            out.append(chr(arg[pick(len(arg))][1]))
+        elif op == "ANY":
+            out.append("q")
+        elif op == "SUBPATTERN":
+            out.append(_some_match(arg[3], pick))
+        elif op == "BRANCH":
+            out.append(_some_match(arg[1][pick(len(arg[1]))], pick))
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += [_some_match(arg[2], pick) for _ in range(arg[0] + pick(min(int(arg[1]) - arg[0], 1) + 1))]
+        else:
+            assert op == "ASSERT", op
+    return "".join(out)
+
+
+def test_license_keywords_drop_nothing(spark):
+    import random
+
+    rng, texts = random.Random(5), ["This file is under MPL 2.0", "MPLv2", "Do What The Fuck You Want To Public License"]
+    for _, _, kw, rx, _, _ in license_scan.rules():
+        ways = {_some_match(re._parser.parse(rx), p) for p in (lambda n: 0, lambda n: n - 1, *[rng.randrange] * 4)}
+        assert all(f" {kw}" in " " + w for w in ways), (kw, rx)
+        texts += ["x " + w for w in sorted(ways)]
+    got = {r.key: r.labels for r in license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0] == got[1] == "mpl-2.0" and got[2] == "wtfpl"
+    for i, t in enumerate(texts):
+        j = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOW))) + " "
+        # every rule, without the keywords; a span goes if one of at least its priority contains it
+        spans = sorted((m.start(), -m.end(), -p, k, label) for k, label, _, rx, p, _ in license_scan.rules() for m in re.finditer(rx, j))
+        kept = {s[4] for n, s in enumerate(spans) if not any(o[1] <= s[1] and o[2] <= s[2] for o in spans[:n])}
+        kept |= {label for phrase, label in license_scan.BASE if f" {phrase} " in j}
+        assert got[i] == ",".join(sorted(kept)), t
