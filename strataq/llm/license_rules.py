@@ -107,7 +107,7 @@ NOTICES = [
     ("mit", "merge", "to use copy modify merge publish distribute sublicense and or sell copies"),
     ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee"),
     ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd-3-clause", "endorse", "neither the name of .{1,80}? may be used to endorse or promote products"),
+    ("bsd-3-clause", "endorse", "neither the name of .{1,400}? may be used to endorse or promote products"),
     ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software"),
     ("apache-2.0", "compliance", "you may not use this file except in compliance with the license"),
     ("apache-2.0", "apache", "http (?:www )?apache org licenses license 2 0"),
@@ -132,7 +132,7 @@ NOTICES = [
     ("cc0-1.0", "creativecommons", "creativecommons org publicdomain zero 1 0"),
     ("proprietary", "rights", "all rights reserved"),
     ("proprietary", "confidential", "(?:proprietary and confidential|confidential and proprietary)"),
-    ("proprietary", "prohibited", "unauthorized (?:copying|use|distribution) .{0,60}?is strictly prohibited"),
+    ("proprietary", "prohibited", "unauthorized (?:copying|use|distribution) .{0,400}?is strictly prohibited"),
 ]
 #: Bare family names.
 FAMILIES = [

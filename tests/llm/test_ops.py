@@ -390,3 +390,13 @@ def test_license_keywords_drop_nothing(spark):
         kept = {s[4] for n, s in enumerate(spans) if not any(o[1] <= s[1] and o[2] <= s[2] for o in spans[:n])}
         kept |= {label for phrase, label in license_scan.BASE if f" {phrase} " in j}
         assert got[i] == ",".join(sorted(kept)), t
+
+
+def test_license_clauses_with_long_names():
+    holder = "university of california berkeley and lawrence livermore national laboratory"
+    texts = {
+        "bsd-3-clause": f" neither the name of the {holder} nor the names of its contributors may be used to endorse or promote products ",
+        "proprietary": f" unauthorized copying of this file or of any part of it by anyone outside of {holder} is strictly prohibited ",
+    }
+    for label, t in texts.items():
+        assert label in {r[1] for r in license_scan.rules() if re.search(r[3], t)}
