@@ -9,7 +9,10 @@ buckets. At similarity 0.75 a pair meets in some bucket with probability
 1 - (1 - 0.75**6)**50, about 0.99994; more above.
 
 Documents with equal shingle sets form one class (a 128-bit sum of the set);
-all further work is on classes. Within a bucket not all pairs are made:
+all further work is on classes, which have numbers of their own. Only classes that share a bucket need
+their sketch and full set: they are made from whole texts in a second reading, where a Bloom filter of
+BLOOM_BITS bits (its size is fixed; at some 10**7 wanted classes it begins to let others by, which costs shuffle only) keeps the rest
+of the texts out of the shuffle. Within a bucket not all pairs are made:
 
 1. the class that shares most buckets is the bucket's hub; hub and members are
    compared, and links give components;
@@ -21,12 +24,13 @@ So a group of near copies costs pairs with its hubs only, and no pair whose
 outcome could change the result is left out. A pair is compared when sizes
 allow the threshold and at most 111 of the 300 sketch values differ (by four bits
 of each: a pair at 0.75 differs in 70 on average, deviation 7.3: one in 10**7 is lost).
-Comparing means intersecting the full shingle sets, read again from whole texts.
+Comparing means intersecting the full shingle sets.
 
 Defined results: a text without words (or null) has an empty set and is linked
 with nothing; fewer than five words form one shingle; repeated rows are one
 class; a null key never names a component while another key can; an empty
-table gives an empty result; columns other than key and text are not read.
+table gives an empty result; columns other than key and text are not read. A text of n bytes takes a
+worker about 60 n bytes for a moment; texts go in slices of slice_bytes, a longer one alone.
 """
 
 from __future__ import annotations
@@ -49,6 +53,8 @@ SKETCH = [f"s{k}" for k in range(LONGS)]
 MOST_DIFFER = 111
 #: Buckets of more open members than this are compared by tiles of BLOCK members a side.
 CROWD, BLOCK = 64, 512
+#: Size of the Bloom filter of wanted texts: the bound on what is broadcast.
+BLOOM_BITS = 1 << 25
 _LUT = np.arange(256, dtype=np.uint8)
 _LUT[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -162,37 +168,66 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa
                 z2 = np.concatenate([[np.uint64(0)], np.cumsum(mix64(h ^ _BYTE[9]), dtype=np.uint64)])
                 a = mix64((z[so[1:]] - z[so[:-1]]) + n.astype(np.uint64)).view(np.int64)
                 b = (z2[so[1:]] - z2[so[:-1]]).view(np.int64)
-            nib = np.zeros((len(n), 16 * LONGS), np.uint8)
-            nib[:, : sk.shape[1]] = sk & np.uint64(15)
-            bits = (nib[:, 0::2] << 4 | nib[:, 1::2]).view(np.int64)
             bands = band_hashes(sk)
             bo = pa.array(np.arange(0, bands.size + 1, bands.shape[1], dtype=np.int32))
             yield pa.record_batch(
-                [
-                    batch.column(0)[i:j], batch.column(1)[i:j], pa.array(n.astype(np.int64)), pa.array(a), pa.array(b),
-                    *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(LONGS)),
-                    pa.ListArray.from_arrays(bo, pa.array(bands.ravel())),
-                ],
-                names=["key", "th", "n", "nid", "fp", *SKETCH, "bands"],
-            )
+                [batch.column(0)[i:j], batch.column(1)[i:j], pa.array(n.astype(np.int64)), pa.array(a), pa.array(b), pa.ListArray.from_arrays(bo, pa.array(bands.ravel()))],
+                names=["key", "th", "n", "a", "b", "bands"],
+            )
+
+
+def _bloom_places(th: np.ndarray) -> np.ndarray:
+    """(texts, 4) bit places of 16-byte text hashes, given as rows of two uint64."""
+    with np.errstate(over="ignore"):
+        return ((th[:, :1] + np.arange(4, dtype=np.uint64)[None, :] * (th[:, 1:] | np.uint64(1))) % np.uint64(BLOOM_BITS)).astype(np.int64)
+
+
+def _hash_rows(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint64).reshape(-1, 2)
+
+
+def _bloom(nodes: DataFrame) -> np.ndarray:
+    """The Bloom filter of nodes.th, BLOOM_BITS bits: its segments are set in tasks and gathered."""
 
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array(np.unique(_bloom_places(_hash_rows(batch.column(0)))))], names=["p"])
 
-def _set_batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()
+    def segment(t: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << 18, np.uint8)
+        bits[t.column("p").to_numpy() & ((1 << 18) - 1)] = 1
+        return pa.table({"s": t.column("s")[:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    at = nodes.select("th").mapInArrow(places, "p long").distinct()
+    got = at.withColumn("s", F.shiftright("p", 18)).groupBy("s").applyInArrow(segment, "s long, bits binary").collect()
+    out = np.zeros(BLOOM_BITS // 8, np.uint8)
+    for r in got:
+        out[r.s << 15 : (r.s + 1) << 15] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out
+
+
+def _set_batches(batches: Iterator[pa.RecordBatch], most: int, bloom: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """th, sketch bits and full shingle set of each wanted text, once a task."""
+    seen: set[bytes] = set()
     for batch in batches:
-        data, offs = _buffer(batch.column(1))
-        ids = batch.column(0).to_pylist()
+        if not batch.num_rows:
+            continue
+        p = _bloom_places(_hash_rows(batch.column(0)))
+        keep = np.flatnonzero(((bloom[p >> 3] >> (7 - (p & 7))) & 1).all(axis=1))
+        ids = batch.column(0).take(pa.array(keep)).to_pylist()
+        keep = keep[[k for k, x in enumerate(ids) if x not in seen and not seen.add(x)]]
+        if len(seen) > 300_000:
+            seen.clear()
+        texts, ids = batch.column(1).take(pa.array(keep)), batch.column(0).take(pa.array(keep))
+        data, offs = _buffer(texts)
         for i, j in byte_slices(np.diff(offs), most):
             h, so = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-            out_id, out_set = [], []
-            for k in range(i, j):
-                if ids[k] not in seen:
-                    seen.add(ids[k])
-                    out_id.append(ids[k])
-                    out_set.append(h[so[k - i] : so[k - i + 1]].tobytes())
-            if len(seen) > 1_000_000:
-                seen.clear()
-            yield pa.record_batch([pa.array(out_id, pa.int64()), pa.array(out_set, pa.binary())], names=["nid", "shingles"])
+            sk = sketches(h, so)
+            nib = np.zeros((j - i, 16 * LONGS), np.uint8)
+            nib[:, : sk.shape[1]] = sk & np.uint64(15)
+            bits = (nib[:, 0::2] << 4 | nib[:, 1::2]).view(np.int64)
+            sets = [h[so[k] : so[k + 1]].tobytes() for k in range(j - i)]
+            yield pa.record_batch([ids[i:j], *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(LONGS)), pa.array(sets, pa.binary())], names=["th", *SKETCH, "shingles"])
 
 
 def _link_batches(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -225,20 +260,22 @@ def _sketches_near(p: str, q: str) -> Column:
     return differ <= MOST_DIFFER
 
 
-def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The distinct pairs (u, v) whose sketches are near: a sketch moves once a pair, not once a bucket."""
-    sk = nodes.select("nid", *SKETCH)
+    sk = sets.select("nid", *SKETCH)
     both = pairs.alias("z").join(sk.alias("p"), F.col("z.u") == F.col("p.nid")).join(sk.alias("q"), F.col("z.v") == F.col("q.nid"))
     return both.where(_sketches_near("p", "q")).select("z.*")
 
 
 def _sets(nodes: DataFrame, docs: DataFrame, slice_bytes: int) -> DataFrame:
-    """(nid, shingles): the full sorted shingle set of each class that shares a bucket, from whole texts read once."""
-    texts = nodes.select("nid", "th")
-    whole = docs.select(F.md5(text_or_empty("text").cast("binary")).alias("th"), text_or_empty("text").alias("text"))
-    rows = whole.join(texts, "th").select("nid", "text")
-    sets = rows.mapInArrow(lambda it: _set_batches(it, slice_bytes), "nid long, shingles binary").dropDuplicates(["nid"])
-    return materialize(sets, "minhash-sets")
+    """nid, sketch and full sorted shingle set of each class that shares a bucket, from whole texts.
+
+    Equal texts leave a task once, so a text that very many rows share stays small in the shuffle.
+    """
+    bloom = _bloom(nodes)
+    kinds = f"th binary, {', '.join(f'{c} long' for c in SKETCH)}, shingles binary"
+    found = docs.mapInArrow(lambda it: _set_batches(it, slice_bytes, bloom), kinds).dropDuplicates(["th"])
+    return materialize(found.join(nodes.select("nid", "th"), "th").drop("th"), "minhash-sets")
 
 
 def _tile_links(t: pa.Table, num: int, den: int) -> pa.Table:
@@ -262,7 +299,7 @@ def _tile_links(t: pa.Table, num: int, den: int) -> pa.Table:
     return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def _crowded_links(now: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+def _crowded_links(now: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between members of crowded buckets that are in different components, by tiles of blocks.
 
     Members are blocked by groups of overlapping buckets, about BLOCK in each; two blocks meet in a
@@ -282,7 +319,7 @@ def _crowded_links(now: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFra
     seen = hot.select("bh", "nid").join(at, "nid").select("bh", "blk").distinct()
     tiles = seen.select("bh", F.col("blk").alias("a")).join(seen.select("bh", F.col("blk").alias("b")), "bh").where("a <= b").select("a", "b").distinct()
     sides = tiles.select(F.xxhash64("a", "b").alias("tile"), F.explode(F.array_distinct(F.array("a", "b"))).alias("blk"))
-    rows = at.join(hot.select("nid", "label", "n").dropDuplicates(["nid"]), "nid").join(nodes.select("nid", *SKETCH), "nid").join(sets, "nid")
+    rows = at.join(hot.select("nid", "label", "n").dropDuplicates(["nid"]), "nid").join(sets, "nid")
     num, den = THRESHOLD
     return materialize(sides.join(rows, "blk").groupBy("tile").applyInArrow(lambda t: _tile_links(t, num, den), "u long, v long"), "minhash-links")
 
@@ -297,24 +334,23 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", slice_bytes: int = 4 << 20, star_rounds: int = 2) -> DataFrame:
     """One row per document: key, n_shingles, component_id, kept."""
-    docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = df.schema[key].dataType.simpleString()
-    t = text_or_empty("text")
-    out = f"key {kind}, th string, n long, nid long, fp long, {', '.join(f'{c} long' for c in SKETCH)}, bands array<long>"
-    rows = docs.select("key", F.md5(t.cast("binary")).alias("th"), t.alias("text")).mapInArrow(lambda it: _sketch_batches(it, slice_bytes), out)
+    t = text_or_empty(text)
+    docs = df.select(F.col(key).alias("key"), F.unhex(F.md5(t.cast("binary"))).alias("th"), t.alias("text"))
+    rows = docs.mapInArrow(lambda it: _sketch_batches(it, slice_bytes), f"key {kind}, th binary, n long, a long, b long, bands array<long>")
     rows = materialize(rows, "minhash-rows")
-    firsts = [F.first(c).alias(c) for c in ("n", *SKETCH, "bands")]
-    classes = materialize(rows.where("n > 0").withColumn("nid", F.xxhash64("nid", "fp")).groupBy("nid").agg(F.min("th").alias("th"), *firsts), "minhash-classes")
+    firsts = [F.first(c).alias(c) for c in ("n", "bands")]
+    classes = rows.where("n > 0").groupBy("a", "b").agg(F.min("th").alias("th"), *firsts)
+    classes = materialize(classes.withColumn("nid", F.monotonically_increasing_id()), "minhash-classes")
     slots = classes.select("nid", F.explode("bands").alias("bh"))
     shared = slots.groupBy("bh").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     mem = materialize(slots.join(shared, "bh"), "minhash-buckets")
     weight = mem.groupBy("nid").agg(F.sum("c").alias("w"))
-    nodes = materialize(weight.join(classes.drop("bands"), "nid"), "minhash-nodes")
+    nodes = materialize(weight.join(classes.select("nid", "th", "n"), "nid"), "minhash-nodes")
     members = materialize(mem.select("bh", "nid").join(nodes.select("nid", "n", "w"), "nid"), "minhash-members")
-    release(classes)
     release(mem)
 
-    sets = _sets(nodes, docs, slice_bytes)
+    sets = _sets(nodes, docs.select("th", "text"), slice_bytes)
     links, done = None, None
     labels = nodes.select("nid", F.col("nid").alias("label"))
 
@@ -331,7 +367,7 @@ def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", slice_byt
         star = hubs.alias("p").join(now.alias("q"), (F.col("p.bh") == F.col("q.bh")) & (F.col("p.nid") != F.col("q.nid")) & (F.col("p.label") != F.col("q.label")) & _sizes_fit("p", "q"))
         meet = star.groupBy(F.col("p.nid").alias("u"), F.col("q.nid").alias("v")).agg(F.max("p.w").alias("w"))
         # one hub for each member: pairs grow with the members, however many buckets a pair shares
-        mine = _near(meet, nodes).groupBy("v").agg(F.max(F.struct("w", "u")).alias("h"))
+        mine = _near(meet, sets).groupBy("v").agg(F.max(F.struct("w", "u")).alias("h"))
         cand = mine.groupBy(F.least("v", "h.u").alias("x"), F.greatest("v", "h.u").alias("y")).agg(F.min(F.struct(F.col("h.u").alias("u"), "v")).alias("p")).select("p.u", "p.v")
         cand = materialize(_not_in(cand, done), "minhash-pairs")
         if cand.isEmpty():
@@ -339,20 +375,24 @@ def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", slice_byt
         done = cand if done is None else done.unionByName(cand)
         more(_verify(cand, sets))
     now = _open(members, labels)
-    few = now.join(now.groupBy("bh").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") <= CROWD).select("bh"), "bh").join(nodes.select("nid", *SKETCH), "nid")
+    few = now.join(now.groupBy("bh").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") <= CROWD).select("bh"), "bh").join(sets.select("nid", *SKETCH), "nid")
     every = few.alias("p").join(few.alias("q"), (F.col("p.bh") == F.col("q.bh")) & (F.col("p.nid") < F.col("q.nid")) & (F.col("p.label") != F.col("q.label")) & _sizes_fit("p", "q") & _sketches_near("p", "q"))
     cand = materialize(_not_in(every.select(F.col("p.nid").alias("u"), F.col("q.nid").alias("v")).distinct(), done), "minhash-pairs")
     if not cand.isEmpty():
         more(_verify(cand, sets))
         now = _open(members, labels)
     if not now.groupBy("bh").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > CROWD).isEmpty():
-        more(_crowded_links(now, nodes, sets))
-    node = F.xxhash64("nid", "fp")
-    slim = rows.select("key", "n", F.when(F.col("n") > 0, node).alias("nid"))
-    slim = slim.join(labels.where("nid != label").select("nid", "label"), "nid", "left").withColumn("comp", F.coalesce("label", "nid")).select("key", "n", "comp")
-    least = slim.where("comp is not null").groupBy("comp").agg(F.min("key").alias("least"))
-    full = slim.join(least, "comp", "left")
+        more(_crowded_links(now, sets))
+    # classes that are not the first of their component, with that one's (a, b): few beside the rows
+    ids = classes.select("nid", "a", "b")
+    moved = labels.where("nid != label").join(ids, "nid").select("label", "a", "b")
+    moved = materialize(moved.join(ids.select(F.col("nid").alias("label"), F.col("a").alias("ca"), F.col("b").alias("cb")), "label").drop("label"), "minhash-moved")
+    slim = rows.select("key", "n", "a", "b").join(moved, ["a", "b"], "left")
+    slim = slim.select("key", "n", *[F.when(F.col("n") > 0, F.coalesce(f"c{x}", x)).alias(x) for x in "ab"])
+    least = slim.where("n > 0").groupBy("a", "b").agg(F.min("key").alias("least"))
+    full = slim.join(least, ["a", "b"], "left")
     comp = F.coalesce("least", "key")
+    release(nodes, members, sets, classes)
     return full.select("key", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("key").eqNullSafe(comp).alias("kept"))
 
 
