@@ -13,7 +13,8 @@ needs, so a lost executor costs its tasks only.
 
 Defined results: null text counts as empty and gives no ids; repeated rows
 give repeated results; an empty table gives an empty result; other columns
-are not read. Whole texts are encoded, however long.
+are not read. Whole texts are encoded, however long; a piece of over LONG_PIECE
+bytes (a run of letters without a break) goes in windows.
 """
 
 from __future__ import annotations
@@ -24,15 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_slices
-from .pieces import Pieces, leftover, pieces, row_sums, split_here
+from .pieces import Pieces, encoded, encoded_here, split
 
-#: Pieces that a worker expands together: bounds its memory.
-PIECES_AT_ONCE = 400_000
+#: Ids that decode() joins at once: bounds a worker's memory.
+IDS_AT_ONCE = 1 << 20
+#: Pieces of more bytes than this are encoded in windows of a fourth of it.
+LONG_PIECE = 256
 _workers: dict[str, "DuckBpe"] = {}
 
 #: Contract the leftmost minimum-rank pair of every live piece, until none has one.
@@ -74,8 +76,11 @@ class DuckBpe:
                     l.append(x)
                     r.append(y)
                     m.append(i)
+        self.n_bytes = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
+        self.n_bytes[list(ranks.values())] = [len(x) for x in ranks]
         self.ranks, self.of_byte = ranks, np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB"})
+        # temp_directory: nothing spills to a folder of the worker's
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         i32 = pa.int32()
         self._table("merges", l=pa.array(l, i32), r=pa.array(r, i32), m=pa.array(m, i32))
         self._table("vocab", t=pa.array(list(ranks.values()), i32), hex=pa.array([b.hex() for b in ranks]))
@@ -89,29 +94,82 @@ class DuckBpe:
         """(ids of all words in order, ids in each)."""
         ids, lens = [], []
         for i in range(0, len(words), at_once):
-            a, b = self._encode([w.encode() for w in words[i : i + at_once]])
-            ids.append(a)
-            lens.append(b)
+            raw = [w.encode() for w in words[i : i + at_once]]
+            long = [k for k, w in enumerate(raw) if len(w) > LONG_PIECE and w not in self.ranks]
+            done = 0
+            for k in (*long, len(raw)):
+                if k > done:
+                    a, b = self._encode(raw[done:k])
+                    ids.append(a)
+                    lens.append(b)
+                if k < len(raw):
+                    ids.append(self._encode_long(raw[k]))
+                    lens.append(np.array([len(ids[-1])], np.int64))
+                done = k + 1
         return (np.concatenate(ids), np.concatenate(lens)) if ids else (np.empty(0, np.int32), np.empty(0, np.int64))
 
-    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        whole = np.array([self.ranks.get(w, -1) for w in words], np.int32)
-        rest = np.flatnonzero(whole < 0)
+    def _encode(self, words: list[bytes], whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, ids in each); with `whole`, a word that is a token is that token."""
+        known = np.array([self.ranks.get(w, -1) if whole else -1 for w in words], np.int32)
+        rest = np.flatnonzero(known < 0)
         n = np.array([len(words[i]) for i in rest], np.int64)
         w = np.repeat(rest.astype(np.int32), n)
         p = np.arange(len(w), dtype=np.int64) - np.repeat(np.cumsum(n) - n, n)
         t = self.of_byte[np.frombuffer(b"".join(words[i] for i in rest), np.uint8)]
-        done = np.flatnonzero(whole >= 0)
+        done = np.flatnonzero(known >= 0)
         if len(rest):
             self._table("byte_rows", w=w, p=p.astype(np.int32), t=t)
             got = self.db.execute(_ENCODE).fetchnumpy()
             w = np.concatenate([np.asarray(got["w"]), done])
-            t = np.concatenate([np.asarray(got["t"]), whole[done]])
+            t = np.concatenate([np.asarray(got["t"]), known[done]])
         else:
-            w, t = done, whole[done]
+            w, t = done, known[done]
         order = np.argsort(w, kind="stable")
         return t[order].astype(np.int32), np.bincount(w, minlength=len(words)).astype(np.int64)
 
+    def _spans(self, word: bytes, at: list[tuple[int, int]]) -> list[np.ndarray]:
+        """The tokens of word[a:b] for each (a, b), as rows (start, end, id)."""
+        ids, n = self._encode([word[a:b] for a, b in at], whole=False)
+        out = []
+        for (a, _), x in zip(at, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+            end = a + np.cumsum(self.n_bytes[x])
+            out.append(np.stack([end - self.n_bytes[x], end, x.astype(np.int64)], axis=1))
+        return out
+
+    def _encode_long(self, word: bytes, window: int = LONG_PIECE // 4) -> np.ndarray:
+        """The ids of a long piece, in time that grows with its length.
+
+        Merges inside a stretch whose ends no merge crosses are those of the stretch alone. So a row of tokens is
+        the encoding of its bytes exactly if every two neighbours are the encoding of theirs. Windows are encoded
+        apart, and around each cut a span that reaches into both sides; where a window and a span hold the same token
+        at the same place, the row may pass from one to the other. A cut without such tokens on both sides is
+        tried with other spans, then all of it with wider windows.
+        """
+        if window >= len(word):
+            return self._encode([word], whole=False)[0]
+        cuts = list(range(window, len(word), window))
+        parts = self._spans(word, list(zip([0, *cuts], [*cuts, len(word)], strict=True)))
+        joins: list = [None] * len(cuts)
+        for reach in (window // 2, window // 4, window // 8):
+            open_ = [i for i in range(len(cuts)) if joins[i] is None]
+            # a span begins and ends where a token of its window does, so that it is in step with it
+            begin = [int(parts[i][np.searchsorted(parts[i][:-1, 0], cuts[i] - reach), 0]) for i in open_]
+            end = [int(parts[i + 1][np.searchsorted(parts[i + 1][:-1, 1], cuts[i] + reach), 1]) for i in open_]
+            for i, m in zip(open_, self._spans(word, list(zip(begin, end, strict=True))) if open_ else (), strict=True):
+                rows = {tuple(x): k for k, x in enumerate(m.tolist())}
+                left = next((k for k in range(len(parts[i]) - 1, -1, -1) if tuple(parts[i][k].tolist()) in rows), None)
+                right = next((k for k, x in enumerate(parts[i + 1].tolist()) if tuple(x) in rows), None)
+                if left is not None and right is not None:
+                    a, b = rows[tuple(parts[i][left].tolist())], rows[tuple(parts[i + 1][right].tolist())]
+                    joins[i] = left, m[a + 1 : b + 1, 2], right
+        first, out = 0, []
+        for i, j in enumerate(joins):
+            if j is None or j[0] + 1 < first:
+                return self._encode_long(word, 4 * window)
+            out += [parts[i][first : j[0] + 1, 2], j[1]]
+            first = j[2] + 1
+        return np.concatenate([*out, parts[-1][first:, 2]]).astype(np.int32)
+
     def decode_rows(self, ids: np.ndarray, lens: np.ndarray) -> list[bytes]:
         """The bytes of each row of ids, joined in order of position."""
         w = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
@@ -149,24 +207,19 @@ def split_pattern() -> str:
 
 def _map_pieces(df: DataFrame, key: str, text: str, row, out: str, path: str, pattern: str) -> DataFrame:
     """row(ids, raw) -> further values of one document."""
-    rows = df.select(F.col(key).alias("key"), pieces(text).alias("pieces"), leftover(text).alias("left"))
+    pieces, left = split(text)
+    rows = df.select(F.col(key).alias("key"), pieces.alias("pieces"), left.alias("left"))
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        rx, (_, known) = regex.compile(pattern), worker(path)
         for batch in batches:
-            lists = split_here(batch.column(1), batch.column(2), pattern)
-            for a, b in byte_slices(pc.list_value_length(lists).to_numpy(zero_copy_only=False), PIECES_AT_ONCE):
-                yield one(batch.column(0)[a:b], lists[a:b])
-
-    def one(keys: pa.Array, lists: pa.ListArray) -> pa.RecordBatch:
-        _, known = worker(path)
-        offs = lists.offsets.to_numpy().astype(np.int64)
-        num = known.numbers(lists.values[offs[0] : offs[-1]])
-        ids, n = known.ids_of(num)
-        raw, m = known.raw_of(num)
-        i, j = (np.concatenate([[0], np.cumsum(row_sums(x, offs - offs[0]))]) for x in (n, m))
-        vals = [row(ids[i[k] : i[k + 1]], raw[j[k] : j[k + 1]]) for k in range(len(lists))]
-        return pa.record_batch([keys, *(pa.array(c, t) for c, t in zip(zip(*vals, strict=True), kinds, strict=True))], names=["key", *names])
+            here = (encoded_here(t.as_py(), rx, known) if t.is_valid else None for t in batch.column(2))
+            got = [row(*(h or x)) for x, h in zip(encoded(batch.column(1), known), here, strict=True)]
+            cols = zip(*got, strict=True) if batch.num_rows else ((),) * len(names)
+            yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["key", *names])
 
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -189,10 +242,11 @@ def decode(df: DataFrame, key: str = "key", ids: str = "ids", path: str | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, _ = worker(path)
         for batch in batches:
-            col = batch.column(1)
-            lens = np.array([len(x) if x is not None else 0 for x in col.to_pylist()], np.int64)
-            raw = bpe.decode_rows(col.flatten().to_numpy(zero_copy_only=False).astype(np.int32), lens)
-            yield pa.record_batch([batch.column(0), pa.array([r if v else None for r, v in zip(raw, col.is_valid().to_pylist(), strict=True)], pa.binary())], names=["key", "bytes"])
+            lens = np.array([len(x) if x.is_valid else 0 for x in batch.column(1)], np.int64)
+            for i, j in byte_slices(lens, IDS_AT_ONCE):
+                col = batch.column(1)[i:j]
+                raw = bpe.decode_rows(col.flatten().to_numpy(zero_copy_only=False).astype(np.int32), lens[i:j])
+                yield pa.record_batch([batch.column(0)[i:j], pa.array([r if v else None for r, v in zip(raw, col.is_valid().to_pylist(), strict=True)], pa.binary())], names=["key", "bytes"])
 
     return df.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(run, f"key {kind}, bytes binary")
 

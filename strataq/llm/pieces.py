@@ -1,98 +1,93 @@
 """Splitting text into pieces, and per-worker dictionaries of encoded pieces.
 
 Byte-level BPE works on each piece by itself, so a distinct piece needs to be
-encoded once. The JVM splits texts; a Python worker numbers the
-pieces of each Arrow batch and encodes only pieces that its dictionary lacks.
-The dictionary holds at most `most` pieces and is emptied when
-full, which changes speed only.
+encoded once. The JVM splits texts; a Python worker numbers the pieces, some
+PIECES_AT_ONCE at a time, and encodes only those that its dictionary lacks.
+Texts with code points that Java does not know and texts of over LONG_TEXT bytes are
+left to Python, which splits them in stretches. The dictionary is emptied when it would hold
+more than `most` pieces: that changes speed only, never a result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import ragged_take, text_or_empty
+from .common import byte_slices, ragged_take, text_or_empty
 
+#: Pieces that a worker holds at once: bounds its memory.
+PIECES_AT_ONCE = 500_000
+#: Texts of more bytes than this are not split in the JVM.
+LONG_TEXT = 4 << 20
 #: Unicode's White_Space, as \s of the tokenizer libraries.
 _SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
 #: The byte-level split pattern in Java's syntax.
 JAVA_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 
 
-def pieces(text: str) -> Column:
-    """array<string>: the pieces of a text in order; null text has none.
-
-    Java's tables lag behind Unicode: a text with code points that Java does not
-    know gives null here, and split_here() does it in Python.
-    """
-    t = text_or_empty(text)
-    return F.when(~t.rlike(r"\p{Cn}"), F.regexp_extract_all(t, F.lit(JAVA_PATTERN), F.lit(0)))
-
-
-def leftover(text: str) -> Column:
-    """The texts that pieces() leaves to Python, else null."""
+def split(text: str) -> tuple[Column, Column]:
+    """(array<string> of the pieces in order, text left to Python): one of the two is null. A null text has no pieces."""
     t = text_or_empty(text)
-    return F.when(t.rlike(r"\p{Cn}"), t)
-
-
-def split_here(lists: pa.ListArray, left: pa.StringArray, pattern: str) -> pa.ListArray:
-    """Fill the null lists from `left` with the regex module."""
-    if not lists.null_count:
-        return lists
-    import regex
-
-    rx = regex.compile(pattern)
-    return pa.array([rx.findall(s) if s is not None else x for x, s in zip(lists.to_pylist(), left.to_pylist(), strict=True)], pa.list_(pa.string()))
+    left = t.rlike(r"\p{Cn}") | (F.octet_length(t) > LONG_TEXT)
+    return F.when(~left, F.regexp_extract_all(t, F.lit(JAVA_PATTERN), F.lit(0))), F.when(left, t)
 
 
 class Pieces:
-    """Dictionary of pieces: ids (int32) and, if asked for, decoded bytes, both ragged."""
+    """Dictionary of pieces: ids (int32) and, if the encoder gives them, decoded bytes, both ragged."""
 
-    def __init__(self, encode: Callable, most: int = 600_000) -> None:
+    def __init__(self, encode: Callable, most: int = 400_000) -> None:
         self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.ids, self.lens, self.starts = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.raw, self.raw_lens, self.raw_starts = np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids, self.lens = np.empty(0, np.int32), np.empty(0, np.int64)
+        self.raw, self.raw_lens = np.empty(0, np.uint8), np.empty(0, np.int64)
 
-    def numbers(self, flat: pa.Array) -> np.ndarray:
-        """The dictionary number of every piece in flat."""
+    def of(self, flat: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all pieces in turn, ids in each, decoded bytes of all, bytes in each)."""
         d = flat.dictionary_encode()
         words = d.dictionary.to_pylist()
-        if len(self.at) + len(words) > self.most:
+        new = [w for w in words if w not in self.at]
+        if self.at and len(self.at) + len(new) > self.most:
             self.clear()
-        at = self.at
-        new = [w for w in words if w not in at]
+            new = words
         if new:
             ids, lens, raw, raw_lens = self.encode(new)
-            base = len(at)
-            at.update(zip(new, range(base, base + len(new)), strict=True))
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lens) - lens])
-            self.lens = np.concatenate([self.lens, lens])
-            self.ids = np.concatenate([self.ids, ids])
-            self.raw_starts = np.concatenate([self.raw_starts, len(self.raw) + np.cumsum(raw_lens) - raw_lens])
-            self.raw_lens = np.concatenate([self.raw_lens, raw_lens])
-            self.raw = np.concatenate([self.raw, raw])
-        table = np.fromiter((at[w] for w in words), np.int64, len(words))
-        return table[d.indices.to_numpy(zero_copy_only=False)] if len(words) else np.empty(0, np.int64)
-
-    def ids_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lens = self.lens[numbers]
-        return ragged_take(self.ids, self.starts[numbers], lens), lens
-
-    def raw_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lens = self.raw_lens[numbers]
-        return ragged_take(self.raw, self.raw_starts[numbers], lens), lens
-
-
-def row_sums(lens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sum of lens in each row of a ragged array with these offsets."""
-    c = np.concatenate([[0], np.cumsum(lens)])
-    return c[offsets[1:]] - c[offsets[:-1]]
+            base = len(self.at)
+            self.at.update(zip(new, range(base, base + len(new)), strict=True))
+            self.ids, self.lens = np.concatenate([self.ids, ids]), np.concatenate([self.lens, lens])
+            self.raw, self.raw_lens = np.concatenate([self.raw, raw]), np.concatenate([self.raw_lens, raw_lens])
+        if not words:
+            return np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.uint8), np.empty(0, np.int64)
+        num = np.array([self.at[w] for w in words], np.int64)
+        k = d.indices.to_numpy(zero_copy_only=False)
+        n, m = self.lens[num], self.raw_lens[num]
+        at, raw_at = (np.cumsum(self.lens) - self.lens)[num], (np.cumsum(self.raw_lens) - self.raw_lens)[num]
+        return ragged_take(self.ids, at[k], n[k]), n[k], ragged_take(self.raw, raw_at[k], m[k]), m[k]
+
+
+def encoded(lists: pa.ListArray, known: Pieces) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, decoded bytes) of each list of pieces in turn; a null list has none."""
+    for a, b in byte_slices(pc.coalesce(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False) + 1, PIECES_AT_ONCE):
+        offs = lists[a:b].offsets.to_numpy().astype(np.int64)
+        ids, n, raw, m = known.of(lists.values[offs[0] : offs[-1]])
+        i, j = (np.concatenate([[0], np.cumsum(x)])[offs - offs[0]] for x in (n, m))
+        for k in range(b - a):
+            yield ids[i[k] : i[k + 1]], raw[j[k] : j[k + 1]]
+
+
+def encoded_here(text: str, rx, known: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, decoded bytes) of a text that Python splits, in stretches of PIECES_AT_ONCE pieces."""
+    it, ids, raw = (m.group() for m in rx.finditer(text)), [np.empty(0, np.int32)], [np.empty(0, np.uint8)]
+    while part := list(islice(it, PIECES_AT_ONCE)):
+        got = known.of(pa.array(part, pa.string()))
+        ids.append(got[0])
+        raw.append(got[2])
+    return np.concatenate(ids), np.concatenate(raw)

@@ -29,14 +29,13 @@ import os
 import zlib
 from collections.abc import Callable, Iterator
 from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, n_shuffle, text_or_empty
-from .pieces import Pieces, leftover, pieces, row_sums, split_here
+from .common import materialize, n_shuffle, ragged_take, text_or_empty
+from .pieces import Pieces, encoded, split
 
 #: Fixed values of the format: (ids in a word, bits of each) by selector.
 SELECTORS = ((0, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 30))
@@ -131,42 +130,56 @@ def _encoder(path: str) -> tuple[Pieces, Callable]:
         tok = Tokenizer.from_file(path)
         batch = getattr(tok, "encode_batch_fast", tok.encode_batch)
 
+        def alone(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            got = [x.ids for x in batch(words, add_special_tokens=False)]
+            return np.array([i for x in got for i in x], np.int32), np.array([len(x) for x in got], np.int64)
+
+        line = alone(["\n"])[0]
+
+        def lines(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """The ids of pieces without white space past their start, as lines of one text: a line's end is a piece of its own."""
+            ids = np.array(batch(["\n".join(words)], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(ids == line[0])
+            if len(line) != 1 or len(ends) != len(words) - 1:
+                return alone(words)
+            return np.delete(ids, ends), np.diff(ends, prepend=-1, append=len(ids)) - 1
+
         def encode(words: list[str]):
-            ids, lens = [], []
-            for i in range(0, len(words), 20_000):
-                got = [x.ids for x in batch(words[i : i + 20_000], add_special_tokens=False)]
-                lens += map(len, got)
-                ids.append(np.fromiter((t for x in got for t in x), np.int32))
-            none = np.zeros(len(words), np.int64)
-            return np.concatenate(ids), np.array(lens, np.int64), np.empty(0, np.uint8), none
-
-        _vocab[path] = Pieces(encode), lambda t: np.array(batch([t], add_special_tokens=False)[0].ids, np.int32)
+            blank = np.fromiter(map(str.isspace, words), bool, len(words))
+            ids, lens, order = [np.empty(0, np.int32)], [np.empty(0, np.int64)], []
+            for at, how in ((np.flatnonzero(~blank), lines), (np.flatnonzero(blank), alone)):
+                order.append(at)
+                for i in range(0, len(at), 500):
+                    a, b = how([words[k] for k in at[i : i + 500]])
+                    ids.append(a)
+                    lens.append(b)
+            ids, lens, back = np.concatenate(ids), np.concatenate(lens), np.argsort(np.concatenate(order))
+            return ragged_take(ids, (np.cumsum(lens) - lens)[back], lens[back]), lens[back], np.empty(0, np.uint8), np.zeros(len(words), np.int64)
+
+        _vocab[path] = Pieces(encode), lambda t: alone([t])[0]
     return _vocab[path]
 
 
-def encode_ids(df: DataFrame, key: str, text: str, path: str, pattern: str, end_id: int) -> DataFrame:
+def encode_ids(df: DataFrame, key: str, text: str, path: str, end_id: int) -> DataFrame:
     """key, ids binary (with the end id; little-endian, 2 bytes each, or 4 if wide), wide.
 
-    Added tokens of the tokenizer go before the piece split: texts that hold one are encoded whole.
+    Texts go piece by piece. Those that hold an added token of the tokenizer (which goes before the split) and
+    those that pieces.split() leaves to Python are encoded whole.
     """
     t = text_or_empty(text)
+    pieces, left = split(text)
     held = reduce(lambda a, b: a | b, [F.contains(t, F.lit(c)) for c in _added(path)], F.lit(False))
-    rows = df.select(F.col(key).alias("key"), pieces(text).alias("pieces"), leftover(text).alias("left"), F.when(held, t).alias("whole"))
+    rows = df.select(F.col(key).alias("key"), pieces.alias("pieces"), F.coalesce(left, F.when(held, t)).alias("whole"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, encode_whole = _encoder(path)
         for batch in batches:
-            lists, keys, out, wide = split_here(batch.column(1), batch.column(2), pattern), batch.column(0), [], []
-            offs, whole = lists.offsets.to_numpy(), batch.column(3)
-            flat = lists.values[offs[0] : offs[-1]] if len(lists) else lists.values
-            ids, n = known.ids_of(known.numbers(flat))
-            ends = np.concatenate([[0], np.cumsum(row_sums(n, (offs - offs[0]).astype(np.int64)))])
-            for k in range(len(lists)):
-                one = encode_whole(t) if (t := whole[k].as_py()) is not None else ids[ends[k] : ends[k + 1]]
-                one = np.append(one, np.int32(end_id))
-                out.append(one.astype("<u2" if one.max() < 1 << 16 else "<u4").tobytes())
+            out, wide = [], []
+            for (ids, _), whole in zip(encoded(batch.column(1), known), batch.column(2), strict=True):
+                one = np.append(encode_whole(whole.as_py()) if whole.is_valid else ids, np.int32(end_id))
                 wide.append(bool(one.max() >= 1 << 16))
-            yield pa.record_batch([keys, pa.array(out, pa.binary()), pa.array(wide)], names=["key", "ids", "wide"])
+                out.append(one.astype("<u4" if wide[-1] else "<u2").tobytes())
+            yield pa.record_batch([batch.column(0), pa.array(out, pa.binary()), pa.array(wide, pa.bool_())], names=["key", "ids", "wide"])
 
     return rows.mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, ids binary, wide boolean")
 
@@ -247,6 +260,6 @@ def op2_token_files(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    ids = encode_ids(docs, "doc_id", "text", P.path("byte_bpe_50k.json"), P.PATTERN, 0)
+    ids = encode_ids(docs, "doc_id", "text", P.path("byte_bpe_50k.json"), 0)
     cuts = key_ranges(docs.select(F.col("doc_id").alias("key")), n_shuffle(spark))
     return read_token_files(write_token_files(ids, cuts)).withColumnRenamed("key", "doc_id")
