@@ -22,14 +22,16 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of our own only where none is set (tests)."""
+    """The session's checkpoint folder; where none is set, one of our own in local mode (tests), else an error."""
     global _own_dir
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    sc = spark.sparkContext
+    at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="strataq-")
-        spark.sparkContext.setCheckpointDir(_own_dir)
     return _own_dir
 
 
@@ -42,11 +44,11 @@ def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Delete a table of materialize() that nothing reads any more."""
-    at, jvm = df._strataq_path, df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def release(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._strataq_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def n_shuffle(spark: SparkSession) -> int:

@@ -3,8 +3,9 @@
 A text is the average of the embeddings of its subwords: hashed byte n-grams
 (1 to 4, with word marks) of its lower-cased white-space words. A linear
 softmax gives the languages. Embeddings and weights are trained together by
-stochastic gradient descent in numpy on the driver, on a bounded sample of the
-labelled rows: at most SAMPLE_PER_LANG documents of each language, drawn by a hash of the key.
+stochastic gradient descent in numpy, in one task, on a bounded sample of the
+labelled rows: at most SAMPLE_PER_LANG documents of up to SAMPLE_DOC_BYTES bytes in each of the MOST_LANGS most
+frequent languages, drawn by a hash of key and text. Only the weights (BUCKETS numbers a language) reach the driver.
 A fifth of the sample is set aside: it fits the softmax temperature and the
 rejection threshold.
 
@@ -20,7 +21,7 @@ calibrated probability is under the threshold, which is set so that at most
 Defined results: null text or a text without a letter gives `und`, score 0,
 rejected; repeated rows give equal results; an empty table gives an empty
 result, and a table without labels gives `und` everywhere; the key picks the
-sample only; other columns are not read for predictions.
+sample only; other columns are not read for predictions, and their names do not matter.
 """
 
 from __future__ import annotations
@@ -30,12 +31,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import byte_slices, mix64, stable_key, text_or_empty
 
 SAMPLE_PER_LANG = 500
+SAMPLE_DOC_BYTES = 1 << 20
+MOST_LANGS = 100
+#: Distinct words whose subwords are expanded together: bounds a worker's memory.
+WORDS_AT_ONCE = 20_000
 BUCKETS = 1 << 14
 DIM = 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -85,8 +90,11 @@ class Model:
         d = flat.dictionary_encode()
         out = np.zeros((len(texts), len(self.langs)))
         if len(d.dictionary):
-            grams, n = subwords(d.dictionary)
-            per = np.concatenate([_word_sums(self.logits[grams], n), n[:, None]], axis=1)
+            per = np.empty((len(d.dictionary), len(self.langs) + 1))
+            for a in range(0, len(per), WORDS_AT_ONCE):
+                grams, n = subwords(d.dictionary[a : a + WORDS_AT_ONCE])
+                per[a : a + len(n), :-1] = _word_sums(self.logits[grams], n)
+                per[a : a + len(n), -1] = n
             z = np.concatenate([np.zeros((1, per.shape[1])), np.cumsum(per[d.indices.to_numpy(zero_copy_only=False)], axis=0)])
             s = z[offs[1:]] - z[offs[:-1]]
             out = s[:, :-1] / np.maximum(s[:, -1:], 1)
@@ -100,26 +108,31 @@ class Model:
         return best, p[np.arange(len(p)), best]
 
 
-def train(texts: list[str], labels: list[str], epochs: int = 12, batch: int = 64, rate: float = 2.0, seed: int = 5, reject_share: float = 0.001, most_threshold: float = 0.6) -> Model:
-    """Fit embeddings and softmax by SGD, then temperature and threshold on a set-aside fifth."""
+def _features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, shares of the subwords) of each text."""
+    out = []
+    flat, offs = _words(texts)
+    for i in range(len(texts)):
+        d = flat[offs[i] : offs[i + 1]].dictionary_encode()
+        c = np.bincount(d.indices.to_numpy(zero_copy_only=False), minlength=len(d.dictionary))
+        x = np.zeros(BUCKETS)
+        for a in range(0, len(c), WORDS_AT_ONCE):
+            g, n = subwords(d.dictionary[a : a + WORDS_AT_ONCE])
+            x += np.bincount(g, weights=np.repeat(c[a : a + len(n)], n), minlength=BUCKETS)
+        at = np.flatnonzero(x)
+        out.append((at.astype(np.uint16), (x[at] / max(x.sum(), 1)).astype(np.float32)))
+    return out
+
+
+def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs: int = 12, batch: int = 64, rate: float = 2.0, seed: int = 5, reject_share: float = 0.001, most_threshold: float = 0.6) -> Model:
+    """Fit embeddings and softmax by SGD on _features(), then temperature and threshold on a set-aside fifth."""
     langs = sorted(set(labels))
     model = Model(langs)
     if not langs:
         return model
     y = np.array([langs.index(x) for x in labels])
-    docs = []
-    flat, offs = _words(pa.array(texts, pa.large_string()))
-    d = flat.dictionary_encode()
-    grams, n = subwords(d.dictionary)
-    starts, idx = np.cumsum(n) - n, d.indices.to_numpy(zero_copy_only=False)
-    for i in range(len(texts)):
-        w, c = np.unique(idx[offs[i] : offs[i + 1]], return_counts=True)
-        g = np.concatenate([grams[starts[k] : starts[k] + n[k]] for k in w]) if len(w) else np.empty(0, np.int32)
-        x = np.bincount(g, weights=np.repeat(c, n[w]), minlength=BUCKETS)
-        at = np.flatnonzero(x)
-        docs.append((at, (x[at] / max(x.sum(), 1)).astype(np.float32)))
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(texts))
+    order = rng.permutation(len(docs))
     aside, fit = order[: len(order) // 5], order[len(order) // 5 :]
     if len(fit) == 0:
         fit = order
@@ -147,7 +160,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 12, batch: int = 64
             bias -= lr * p.sum(axis=0)
             emb -= lr * 30 * (xb.T @ down)
             done += 1
-    model.logits, model.bias = (emb @ out).astype(np.float64), bias.astype(np.float64)
+    model.logits, model.bias = emb @ out, bias.astype(np.float64)
     held = aside if len(aside) else fit
     z = np.stack([docs[i][1] @ model.logits[docs[i][0]] + model.bias for i in held])
     t = y[held]
@@ -164,25 +177,19 @@ def train(texts: list[str], labels: list[str], epochs: int = 12, batch: int = 64
     return model
 
 
-def sample(df: DataFrame, key: str, text: str, lang: str, where: Column, per_lang: int) -> tuple[list[str], list[str]]:
-    """About per_lang labelled rows of each language and never more, by a hash of the key."""
-    rows = df.where(where & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    count = {r[0]: r[1] for r in rows.groupBy(F.col(lang).alias("l")).count().collect()}
-    share = None
-    for k, n in sorted(count.items()):
-        cond = F.when(F.col(lang) == k, F.lit(min(1.0, per_lang / n))) if share is None else share.when(F.col(lang) == k, F.lit(min(1.0, per_lang / n)))
-        share = cond
-    if share is None:
-        return [], []
-    u = F.pmod(F.xxhash64(stable_key(F.col(key)), F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    got, kept = rows.where(u < share).select(F.col(text).alias("t"), F.col(lang).alias("l"), u.alias("u")).collect(), {k: 0 for k in count}
-    texts, labels = [], []
-    for r in sorted(got, key=lambda r: (r.u, r.t)):
-        if kept[r.l] < per_lang:
-            kept[r.l] += 1
-            texts.append(r.t)
-            labels.append(r.l)
-    return texts, labels
+def sample(df: DataFrame, key: str, text: str, lang: str, where: Column, per_lang: int) -> DataFrame:
+    """(l, u, t): per_lang labelled rows of each language (all, if it has fewer), by a hash of key and text."""
+    t = F.col(text)
+    u = F.xxhash64(stable_key(F.col(key)), t, F.lit(11))
+    rows = df.where(where & F.col(lang).isNotNull() & t.isNotNull() & (F.octet_length(t) <= SAMPLE_DOC_BYTES)).select(F.col(lang).cast("string").alias("l"), u.alias("u"), t.alias("t"))
+    count = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MOST_LANGS).collect()
+    # equal rows have one u and count once, so a repeated row cannot swell the sample
+    at_most = {r.l: int(-(2**63) + min(1.0, 1.5 * per_lang / r["count"] + 20 / r["count"]) * (2**64 - 2**11)) for r in count}
+    if not at_most:
+        return rows.limit(0)
+    share = F.create_map(*[F.lit(x) for kv in sorted(at_most.items()) for x in kv])
+    few = rows.where(F.col("u") <= F.element_at(share, F.col("l"))).dropDuplicates(["l", "u"])
+    return few.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("u"))).where(F.col("n") <= per_lang).drop("n")
 
 
 def held_out(key: Column) -> Column:
@@ -190,37 +197,60 @@ def held_out(key: Column) -> Column:
 
 
 def fit_model(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> Model:
-    return train(*sample(df, key, text, lang, F.coalesce(~held_out(F.col(key)), F.lit(False)), per_lang))
+    """The model of the rows that are not held out, trained in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, labels, marks = [], [], []
+        for batch in batches:
+            for i, j in byte_slices(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False), 1 << 20):
+                docs += _features(batch.column(2)[i:j])
+            labels += batch.column(0).to_pylist()
+            marks += batch.column(1).to_pylist()
+        order = sorted(range(len(docs)), key=lambda i: (labels[i], marks[i]))
+        m = train([docs[i] for i in order], [labels[i] for i in order])
+        cols = [[m.langs], [m.logits.astype(np.float32).tobytes()], [m.bias.tolist()], [m.temperature], [m.threshold]]
+        kinds = [pa.list_(pa.string()), pa.binary(), pa.list_(pa.float64()), pa.float64(), pa.float64()]
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["langs", "logits", "bias", "temperature", "threshold"])
+
+    rows = sample(df, key, text, lang, F.coalesce(~held_out(F.col(key)), F.lit(False)), per_lang)
+    got = rows.coalesce(1).mapInArrow(run, "langs array<string>, logits binary, bias array<double>, temperature double, threshold double").collect()
+    model = Model([])
+    if got and got[0].langs:
+        model = Model(list(got[0].langs))
+        model.logits = np.frombuffer(bytes(got[0].logits), np.float32).reshape(BUCKETS, -1)
+        model.bias, model.temperature, model.threshold = np.array(got[0].bias), got[0].temperature, got[0].threshold
+    return model
 
 
-def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = (), slice_bytes: int = 4 << 20) -> DataFrame:
-    """The columns `keep`, lang_pred, score, rejected. Only the text is an input of the prediction."""
-    cols = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
+def predicted(model: Model, text: str | Column = "text", slice_bytes: int = 1 << 20) -> Column:
+    """struct<lang_pred, score, rejected> of a text column. Only the text is an input of the prediction."""
     t = text_or_empty(text)
-    rows = df.select(t.alias("text"), t.rlike(r"\p{L}").alias("has"), *cols)
-    kinds = "".join(f", k{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    shared = df.sparkSession.sparkContext.broadcast(model)  # a fixed size: BUCKETS x languages
+    out = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
+
+    @F.arrow_udf("lang_pred string, score double, rejected boolean")
+    def predict(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        names = np.array([*model.langs, "und"], object)
+        for texts, letters in batches:
+            has = letters.to_numpy(zero_copy_only=False).astype(bool)
+            best, p = np.zeros(len(texts), int), np.zeros(len(texts))
+            if model.langs:
+                for i, j in byte_slices(pc.binary_length(texts).to_numpy(zero_copy_only=False), slice_bytes):
+                    best[i:j], p[i:j] = model.predict(texts[i:j])
+            ok = has & bool(model.langs)
+            best, p = np.where(ok, best, len(model.langs)), np.where(ok, p, 0.0)
+            cols = [pa.array(names[best], pa.string()), pa.array(p), pa.array(~ok | (p < model.threshold))]
+            yield pa.StructArray.from_arrays(cols, fields=list(out))
+
+    return predict(t, t.rlike(r"\p{L}"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        names = np.array([*m.langs, "und"], object)
-        for batch in batches:
-            lens = pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False)
-            has = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for i, j in byte_slices(lens, slice_bytes):
-                if m.langs:
-                    best, p = m.predict(batch.column(0)[i:j])
-                else:
-                    best, p = np.zeros(j - i, int), np.zeros(j - i)
-                ok = has[i:j] & bool(m.langs)
-                best, p = np.where(ok, best, len(m.langs)), np.where(ok, p, 0.0)
-                yield pa.record_batch([*(batch.column(k)[i:j] for k in range(2, batch.num_columns)), pa.array(names[best], pa.string()), pa.array(p), pa.array(~ok | (p < m.threshold))], names=[*batch.schema.names[2:], "lang_pred", "score", "rejected"])
 
-    out = rows.mapInArrow(run, f"{kinds}, lang_pred string, score double, rejected boolean"[2:])
-    return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """row (a struct of all columns of df, whatever their names), lang_pred, score, rejected."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.select(row.alias("row"), predicted(model, text).alias("p")).select("row", "p.lang_pred", "p.score", "p.rejected")
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    out = identify(docs, fit_model(docs), keep=("doc_id",))
-    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+    out = docs.select("doc_id", predicted(fit_model(docs)).alias("p"))
+    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "p.lang_pred", "p.score", "p.rejected")
