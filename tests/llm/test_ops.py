@@ -95,10 +95,9 @@ def test_token_files(docs):
     import public_tokenizers as P
     from tokenizers import Tokenizer
 
-    ids = token_files.encode_ids(docs, "doc_id", "text", P.path("byte_bpe_50k.json"), P.PATTERN, 0)
+    ids = token_files.encode_ids(docs, "doc_id", "text", P.path("byte_bpe_50k.json"), 0)
     got = token_files.read_token_files(token_files.write_token_files(ids, token_files.key_ranges(ids, 4), block_ids=200)).orderBy("start").collect()
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     want = collections.Counter()
     for i, t, *_ in ROWS:
         x = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
@@ -184,13 +183,13 @@ def test_language_id(spark, docs, none):
     train = [(i, f"{a} {a} {b} der die und", "de", "s", 0, "") for i, (a, b) in enumerate([("haus", "baum"), ("straße", "schön")] * 40)]
     train += [(100 + i, f"{a} {b} the and of", "en", "s", 0, "") for i, (a, b) in enumerate([("house", "tree"), ("street", "nice")] * 40)]
     model = language_id.fit_model(spark.createDataFrame(train, SCHEMA))
-    got = {r.text: r for r in language_id.identify(docs, model, keep=("text", "key")).collect()}
+    got = {r.row.text: r for r in language_id.identify(docs, model).collect()}
     assert {got[t].lang_pred for t in (None, "", "1234 5678 !!")} == {"und"} and got[""].rejected and got[""].score == 0
     assert got["der Bär läuft über die Straße und frißt"].lang_pred == "de" and got[BASE].lang_pred == "en"
     assert all(0 <= r.score <= 1 for r in got.values())
     empty = language_id.fit_model(none)
     assert {r.lang_pred for r in language_id.identify(docs, empty).collect()} == {"und"}
-    assert language_id.identify(none, model, keep=("doc_id",)).count() == 0
+    assert language_id.identify(none, model).count() == 0
 
 
 def test_license_scan(docs):
@@ -224,21 +223,65 @@ def test_sharding(docs):
     assert collections.Counter((r.key, r.size, r.text_crc32) for r in got) == want
 
 
-def test_mixing_targets():
-    assert mixing.targets([100, 100], [1, 1], 200, 3) == [100, 100]
-    t = mixing.targets([10, 1000, 1000], [5, 2, 1], 2010, 3)
-    assert t[0] == 30 and sum(t) == pytest.approx(2010) and t[1] == pytest.approx(2 * t[2])
+def brute_targets(sizes, weights, budget, cap):
+    """Share by weight, cap, share the excess again."""
+    out, free, left = [0.0] * len(sizes), list(range(len(sizes))), float(budget)
+    while free:
+        total = sum(weights[i] for i in free)
+        full = [i for i in free if left * weights[i] / total > cap * sizes[i]]
+        if not full:
+            for i in free:
+                out[i] = left * weights[i] / total
+            break
+        for i in full:
+            out[i] = float(cap * sizes[i])
+        left, free = left - sum(out[i] for i in full), [i for i in free if i not in full]
+    return out
+
+
+def test_mixing_targets(spark):
+    rng = np.random.default_rng(8)
+    assert brute_targets([10, 1000, 1000], [5, 2, 1], 2010, 3)[0] == 30
+    for _ in range(6):
+        sizes = {s: int(n) for s, n in zip(["b", "a", "é", "z", None, "c"][: rng.integers(1, 7)], 10 ** rng.uniform(0, 4, 6), strict=False)}
+        order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+        share = float(rng.choice([0.3, 1.0, 2.0]))
+        want = brute_targets([sizes[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))], share * sum(sizes.values()), 3)
+        got = {r.source: r for r in mixing.source_plan(spark.createDataFrame(list(sizes.items()), "source string, size long"), (5, 2, 1), share, 3).collect()}
+        assert [got[s].source_size for s in order] == [sizes[s] for s in order]
+        assert [got[s].target for s in order] == pytest.approx(want)
 
 
 def test_mixing(spark):
-    rows = [(i, "w " * (i % 7), None, ["a", "b", None][i % 3], 0, "") for i in range(900)]
+    rows = [(i if i % 9 else None, "w " * (i % 7), None, ["a", "b", None][i % 3], 0, "") for i in range(900)]
     df = spark.createDataFrame(rows, SCHEMA)
     got = mixing.mix(df, block_rows=50).collect()
     assert len(got) == 900 and all(r.taken <= 3 * r.size and r.taken == r.copies * r.size for r in got)
-    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(df, block_rows=300).collect()), key=str)
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(df.repartition(5), block_rows=300).collect()), key=str)
     for s in ("a", "b", None):
         mine = [r for r in got if r.source == s]
         assert sum(r.size for r in mine) == mine[0].source_size and abs(sum(r.taken for r in mine) - mine[0].target) <= 14
+    # plain weighted fair queueing over the written order of each queue
+    sized, plan = mixing.mix_plan(df.withColumn("row", __import__("pyspark").sql.functions.monotonically_increasing_id()), block_rows=70)
+    target, queues = {r.source: r for r in plan.collect()}, collections.defaultdict(list)
+    for r in sized.collect():
+        if r["size"]:
+            queues[r.source].append(((r.h, r.key is not None, r.key or 0, r["size"], r.row), r["size"]))
+    served = []
+    for s, q in queues.items():
+        cum = 0
+        for k in range(3):
+            for at, n in sorted(q):
+                cum += n
+                served.append((cum / target[s].target, s is not None, s or "", k, at, n))
+    left, copies = sum(n for q in queues.values() for _, n in q), collections.Counter()
+    for _, _, s, k, at, n in sorted(served):
+        if n > left:
+            break
+        left -= n
+        copies[at[-1]] += 1
+    got = {r.row: r.copies for r in mixing.with_copies(sized, plan).collect()}
+    assert {k: v for k, v in got.items() if v} == copies
 
 
 def test_components(spark):
@@ -341,7 +384,7 @@ def test_token_files_added_tokens(spark):
     texts = ["a <|endoftext|> b", mark, mark * 3, f"x{mark}y  {mark}\n\n{mark} z", f"{mark} \u0378 é 😀", "<|endoftext|", "< |endoftext|>", "<|ENDOFTEXT|>", "plain words", "", None]
     rows = [(i, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
-    ids = token_files.encode_ids(df, "doc_id", "text", path, P.PATTERN, 0)
+    ids = token_files.encode_ids(df, "doc_id", "text", path, 0)
     got = {r.key: r for r in token_files.read_token_files(token_files.write_token_files(ids, [5], block_ids=10)).collect()}
     tok, start = Tokenizer.from_file(path), 0
     assert 50256 in tok.encode(texts[0], add_special_tokens=False).ids
