@@ -17,40 +17,46 @@ from strataq.llm.common import materialize
 
 
 def _numbered(docs: DataFrame, tag: str) -> DataFrame:
-    """docs with a unique _row in the written order; written, so that every reading has the same numbers."""
-    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), tag)
+    """_row (unique, in the written order) and doc (a struct of all columns, whatever their names); written, so that every reading has the same numbers."""
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return materialize(docs.select(F.monotonically_increasing_id().alias("_row"), every.alias("doc")), tag)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the language model rejects go (null text, no letter, or under its calibrated threshold)."""
-    out = language_id.identify(docs, language_id.fit_model(docs), keep=tuple(docs.columns))
-    return out.where(~F.col("rejected")).select(*docs.columns)
+    """Documents that the language model rejects go (null text, no letter, or under its calibrated threshold).
+
+    Repeated rows are judged alike; null or repeated doc_ids are no matter.
+    """
+    out = language_id.identify(docs, language_id.fit_model(docs))
+    return out.where(~F.col("rejected")).select("row.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of rows with equal text (white space apart; null counts as empty) the longest, then that of the smallest doc_id (null last), then the first, stays."""
     rows = _numbered(docs, "pipeline-exact-rows")
-    kept = exact_dedup.exact_dedup(rows, row="_row").where("kept").select("_row")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    kept = exact_dedup.exact_dedup(rows.select("_row", "doc.doc_id", "doc.text"), row="_row").where("kept").select("_row")
+    return rows.join(kept, "_row", "left_semi").select("doc.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id (null last), then the first row, stays."""
+    """Of each group of linked documents the one with the smallest doc_id (null last), then the first row, stays.
+
+    Documents without words (null, empty) are linked with nothing and stay.
+    """
     rows = _numbered(docs, "pipeline-near-rows")
-    keyed = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("key"), "text")
+    keyed = rows.select(F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("doc_id"), "_row").alias("key"), "doc.text")
     kept = minhash.near_dedup(keyed, key="key").where("kept").select("key._row")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    return rows.join(kept, "_row", "left_semi").select("doc.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; documents without words, which no target can count, go."""
     rows = _numbered(docs, "pipeline-mix-rows")
-    m = mixing.mix(rows, row="_row").where("copies > 0").select("_row", "copies")
-    out = rows.join(m, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies")))
-    return out.select(*docs.columns)
+    return mixing.mixed_rows(rows, "doc.doc_id", "doc.text", "doc.source", "_row", "doc").select("doc.*")
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document of the mix."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document of the mix; null text counts as empty, repeated rows repeat."""
     return bpe.encode_digest(docs).withColumnRenamed("key", "doc_id")
 
 
