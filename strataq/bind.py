@@ -54,10 +54,65 @@ def search_all_strings_by_group(spark, d):
     return R.using_all_strings(_t(spark, d, "conversations"), "conv_id", "text", ["en", "la"])
 
 
-@_query("""select 'license' as label, doc_id from documents where contains(text, 'License')
-union all select 'mail' as label, doc_id from documents where contains(text, '@') and contains(text, '.')""")
+@_query("""select l.label, m.conv_id from (values ('both'), ('one'), ('none')) l(label) left join (
+  select 'both' as label, conv_id from conversations group by conv_id having bool_or(contains(text, 'en')) and bool_or(contains(text, 'la'))
+  union all select 'one', conv_id from conversations group by conv_id having bool_or(contains(text, 'zu'))
+) m using (label)""")
 def batch_search(spark, d):
-    return R.batch_search(_t(spark, d, "documents"), "doc_id", "text", {"license": ["License"], "mail": ["@", "."]})
+    return R.batch_search(_t(spark, d, "conversations"), "conv_id", "text", {"both": ["en", "la"], "one": ["zu"], "none": ["\x00 never"]})
+
+
+@_query("select conv_id from conversations where 1 = 0")
+def empty_queries(spark, d):
+    """Declared strings with no query find nothing."""
+    return R.declaring_all_strings(_t(spark, d, "conversations"), "conv_id", "text", [])
+
+
+@_query("select distinct conv_id from conversations")
+def empty_queries_using(spark, d):
+    return R.using_all_strings(_t(spark, d, "conversations"), "conv_id", "text", [])
+
+
+@_query("select conv_id from conversations where role = 'user' group by conv_id having bool_or(contains(text, 'a')) and bool_or(contains(text, 'e'))")
+def search_declaring_strings(spark, d):
+    return R.declaring_all_strings(_t(spark, d, "conversations").where("role = 'user'"), "conv_id", "text", ["a", "e"])
+
+
+@_query("select conv_id from conversations group by conv_id having bool_or(starts_with(text, 'a')) and bool_or(ends_with(text, '.'))")
+def array_quantifier(spark, d):
+    from strataq.functions.match import all_match
+
+    per = _t(spark, d, "conversations").groupBy("conv_id").agg(F.collect_set("text").alias("strings"))
+    return per.where(all_match(F.col("strings"), ["^a"], "regex") & all_match(F.col("strings"), [".$"], "regex")).select("conv_id")
+
+
+@_query("select p_partkey, p_name from part where exists (select 1 from lineitem where l_partkey = p_partkey) and contains(p_name, 'ring')")
+def search_members_unscoped(spark, d):
+    return R.search_members(_t(spark, d, "part"), "p_name", "p_partkey", _t(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey")), "ring").select("p_partkey", "p_name")
+
+
+@_query("select n_nationkey, n_name from nation where n_regionkey = 2 and contains(n_name, 'A')")
+def search_members_scoped(spark, d):
+    n = _t(spark, d, "nation").withColumn("owner", F.col("n_regionkey").cast("string"))
+    up = _t(spark, d, "region").select(F.col("r_regionkey").cast("string").alias("owner"))
+    return R.search_members(n, "n_name", "owner", up, "A", declaring="2").select("n_nationkey", "n_name")
+
+
+@_query("select conv_id from (select conv_id, list(distinct role) as roles from conversations group by conv_id) where list_contains(roles, 'user')")
+def search_implementing(spark, d):
+    per = _t(spark, d, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("roles"))
+    return R.with_any(per, "roles", "user").select("conv_id")
+
+
+@_query("select p_partkey from part where contains('L' || replace(p_name, ' ', '/') || ';', 'Lsmall/ring;')")
+def search_by_annotation(spark, d):
+    p = _t(spark, d, "part").withColumn("ann", F.concat(F.lit("L"), F.translate("p_name", " ", "/"), F.lit(";")))
+    return R.annotated(p, "ann", "small.ring").select("p_partkey")
+
+
+@_query("select p_partkey, p_type from part where p_type = 'ECONOMY' and (starts_with(p_name, 'red') or starts_with(p_name, 'small')) and contains(p_name, 'i')")
+def filter_refs(spark, d):
+    return R.filter_refs(_t(spark, d, "part"), {"p_type": "ECONOMY", "p_brand": ""}, {"p_name": ("red", "small")}, {"p_name": "i"}).select("p_partkey", "p_type")
 
 
 @_query("select n_nationkey, n_name from nation join region on n_regionkey = r_regionkey where r_name = 'ASIA' and contains(n_name, 'A')")
@@ -73,8 +128,7 @@ def search_int_literals(spark, d):
 
 @_query("select l_orderkey from lineitem group by l_orderkey having bool_or(l_quantity = 10.0) and bool_or(l_quantity = 20.0)")
 def search_double_literals(spark, d):
-    li = _t(spark, d, "lineitem")
-    return li.where(F.col("l_quantity").isin(10.0, 20.0)).groupBy("l_orderkey").agg(F.count_distinct("l_quantity").alias("n")).where("n = 2").select("l_orderkey")
+    return R.using_all_doubles(_t(spark, d, "lineitem"), "l_orderkey", "l_quantity", [10.0, 20.0])
 
 
 @_query("select n_name, r_name from nation join region on n_regionkey = r_regionkey where starts_with(r_name, 'E')")
@@ -107,9 +161,19 @@ def first_wins(spark, d):
     return R.first_wins(_t(spark, d, "documents").select("text", "doc_id"), "text", "doc_id")
 
 
-@_query("select o_orderkey, count(distinct o_custkey) as n_refs from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey) group by o_orderkey")
+@_query("""select o_orderstatus, o_orderpriority, array_to_string(list_sort(list(distinct o_custkey)), ',') as places from orders
+where not exists (select 1 from lineitem where l_orderkey = o_orderkey) group by all""")
 def external_refs(spark, d):
-    return R.external_refs(_t(spark, d, "orders"), _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "o_custkey")
+    """Undeclared by order, grouped by (status, priority): the tested key is not the grouping key."""
+    got = R.external_refs(_t(spark, d, "orders"), _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", ["o_orderstatus", "o_orderpriority"], "o_custkey")
+    return got.withColumn("places", F.array_join("places", ","))
+
+
+@_query("""select o_orderkey, array_to_string(list_sort(list(distinct o_custkey)), ',') as places from orders
+where not exists (select 1 from lineitem where l_orderkey = o_orderkey) group by all""")
+def external_type_refs(spark, d):
+    got = R.external_refs(_t(spark, d, "orders"), _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", ["o_orderkey"], "o_custkey")
+    return got.withColumn("places", F.array_join("places", ","))
 
 
 @_query("select o_orderkey, o_orderstatus from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey)")
@@ -129,67 +193,148 @@ def call_sites_from(spark, d):
     return R.sites_to(_t(spark, d, "lineitem"), o, "l_orderkey").groupBy("o_custkey", "l_partkey").agg(F.count(F.lit(1)).alias("n_sites"))
 
 
-@_query("select user_id, count(*) filter (where event_type in ('view', 'click')) as n_reads, count(*) filter (where event_type in ('purchase', 'signup')) as n_writes from events group by user_id")
+@_query("select l_orderkey, l_linenumber, l_partkey from lineitem join orders on l_orderkey = o_orderkey where o_orderstatus = 'F' and o_custkey < 20")
+def call_sites_rows(spark, d):
+    """One row an edge, nothing aggregated."""
+    o = _t(spark, d, "orders").where("o_orderstatus = 'F' and o_custkey < 20").select(F.col("o_orderkey").alias("l_orderkey"))
+    return R.sites_to(_t(spark, d, "lineitem"), o, "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@_query("select event_type, user_id, ts from events where event_type in ('view', 'click')")
 def field_accesses(spark, d):
-    e = F.col("event_type")
-    return _t(spark, d, "events").groupBy("user_id").agg(F.count_if(e.isin("view", "click")).alias("n_reads"), F.count_if(e.isin("purchase", "signup")).alias("n_writes"))
+    """One row an access, repeats kept."""
+    want = spark.createDataFrame([("view",), ("click",)], "event_type string")
+    return R.sites_to(_t(spark, d, "events"), F.broadcast(want), "event_type").select("event_type", "user_id", "ts")
 
 
-@_query("select 'customer' as role, c_name as name from customer where c_nationkey = 3 union all select 'supplier', s_name from supplier where s_nationkey = 3")
+@_query("""select 'field' as role, c_name as member from customer where c_nationkey = 3
+union all select 'return', p_name || '#' || p_partkey from part where p_type = 'ECONOMY' and 'ECONOMY' = 'ECONOMY'
+union all select 'param', p_name || '#' || p_partkey from part where list_contains(string_split(p_name, ' '), 'ECONOMY')""")
 def type_references(spark, d):
-    c = _t(spark, d, "customer").where("c_nationkey = 3").select(F.lit("customer").alias("role"), F.col("c_name").alias("name"))
-    return c.unionByName(_t(spark, d, "supplier").where("s_nationkey = 3").select(F.lit("supplier").alias("role"), F.col("s_name").alias("name")))
+    fields = _t(spark, d, "customer").select(F.col("c_name").alias("member"), F.when(F.col("c_nationkey") == 3, "ECONOMY").alias("type"))
+    methods = _t(spark, d, "part").select(F.concat("p_name", F.lit("#"), "p_partkey").alias("member"), F.col("p_type").alias("returns"), F.split("p_name", " ").alias("params"))
+    return R.type_references(fields, methods, "ECONOMY")
+
 
+@_query("""select 'return' as role, p_name || '#' || p_partkey as member from part where p_type = 'ring'
+union all select 'param', p_name || '#' || p_partkey from part where list_contains(string_split(p_name, ' '), 'ring')""")
+def type_references_params(spark, d):
+    none = spark.createDataFrame([], "member string, type string")
+    methods = _t(spark, d, "part").select(F.concat("p_name", F.lit("#"), "p_partkey").alias("member"), F.col("p_type").alias("returns"), F.split("p_name", " ").alias("params"))
+    return R.type_references(none, methods, "ring")
 
-@_query("select c_custkey, c_name, count(o_orderkey) as n_orders, min(o_orderkey) as first_order from customer left join orders on c_custkey = o_custkey group by all")
+
+@_query("""with decl as (select o_custkey as cls, min(o_orderkey) as w from orders group by all),
+own as (select o_custkey as cls, o_orderkey as w, o_orderpriority as m from orders),
+inner_ as (select cls, w as dex_id, (w % 7)::int as access_flags, array_to_string(list_sort(list(distinct m)), ',') as members from decl join own using (cls, w) group by all),
+outer_ as (select c_custkey as cls, -1::bigint as dex_id, null::int as access_flags, array_to_string(list_sort(list(distinct c_name)), ',') as members from customer
+  where not exists (select 1 from decl where cls = c_custkey) group by all)
+select * from inner_ union all select * from outer_""")
 def class_summary(spark, d):
-    o = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("o_orderkey").alias("n_orders"), F.min("o_orderkey").alias("first_order"))
-    return _t(spark, d, "customer").join(o, "c_custkey", "left").select("c_custkey", "c_name", F.coalesce("n_orders", F.lit(0)).alias("n_orders"), "first_order")
+    """Customers with orders are declared (their first order wins); the others are only seen: dex_id -1, flags NULL."""
+    o = _t(spark, d, "orders").select(F.col("o_custkey").alias("cls"), F.col("o_orderkey").cast("long").alias("dex_id"), (F.col("o_orderkey") % 7).cast("int").alias("access_flags"), F.col("o_orderpriority").alias("member"))
+    seen = _t(spark, d, "customer").select(F.col("c_custkey").alias("cls"), F.col("c_name").alias("member"))
+    return R.class_summary(o, o, seen, "cls", "dex_id").withColumn("members", F.array_join("members", ","))
+
 
+_REFS = "(select distinct p_brand as cls, p_type as name, (p_size % 2)::int as arity, p_name as types, p_name || p_size as sig from part)"
 
-@_query("""with refs as (select distinct p_brand as cls, p_type as name, p_size % 3 as arity, p_name as types from part),
-dim as (select * from (values ('Brand#2', 'ECONOMY', 1, 'small ring'), ('Brand#17', 'ECONOMY', 2, 'red widget')) v(cls, name, d_arity, d_types)),
-tot as (select cls, name, count(*) as total from (select distinct cls, name, arity, types from refs) group by all),
-per as (select cls, name, arity, count(distinct types) as same_arity from refs group by all)
-select cls, name, arity, types from refs join dim using (cls, name) join tot using (cls, name) join per using (cls, name, arity)
+
+@_query(f"""with refs as {_REFS}, dim as (select cls, name, (row_number() over (order by cls, name) % 2)::int as d_arity, 'red widget' as d_types from (select distinct cls, name from refs)),
+tot as (select cls, name, count(distinct sig || '/' || arity) as total from refs group by all),
+per as (select cls, name, arity, count(distinct sig) as same_arity from refs group by all)
+select cls, name, arity, types, sig, total, same_arity from refs join dim using (cls, name) join tot using (cls, name) join per using (cls, name, arity)
 where total <= 1 or (arity = d_arity and (same_arity <= 1 or types = d_types))""")
 def overload_join(spark, d):
-    dim = spark.createDataFrame([("Brand#2", "ECONOMY", 1, "small ring"), ("Brand#17", "ECONOMY", 2, "red widget")], "cls string, name string, arity int, types string")
-    refs = _t(spark, d, "part").select(F.col("p_brand").alias("cls"), F.col("p_type").alias("name"), (F.col("p_size") % 3).alias("arity"), F.col("p_name").alias("types")).distinct()
-    return R.overload_join(dim, refs, ["cls", "name"]).select("cls", "name", "arity", "types")
+    """A signature for every name, so that single overloads, unique arities and shared arities all occur."""
+    from pyspark.sql import Window
+
+    refs = _t(spark, d, "part").select(F.col("p_brand").alias("cls"), F.col("p_type").alias("name"), (F.col("p_size") % 2).cast("int").alias("arity"), F.col("p_name").alias("types"), F.concat("p_name", "p_size").alias("sig")).distinct()
+    n = F.row_number().over(Window.orderBy("cls", "name"))  # a catalogue of names, not of rows
+    dim = refs.select("cls", "name").distinct().select("cls", "name", (n % 2).cast("int").alias("arity"), F.lit("red widget").alias("types"))
+    return R.overload_join(dim, refs, ["cls", "name"]).select("cls", "name", "arity", "types", "sig", "total", "same_arity")
+
+
+@_query("""select p_partkey, replace(p_brand, '#', '.') as index_class, unnest(case when p_size % 2 = 0 then ['<init>', string_split(replace(p_brand, '#', '.'), '.')[-1]] else ['run'] end) as index_name from part""")
+def external_method_index(spark, d):
+    p = _t(spark, d, "part").select("p_partkey", F.translate("p_brand", "#", "$").alias("cls"), F.when(F.col("p_size") % 2 == 0, "<init>").otherwise("run").alias("name"))
+    return R.external_method_index(p, "cls", "name").select("p_partkey", "index_class", "index_name")
+
+
+def _permissions(spark, d, levels):
+    name = F.col("p_name")
+    perm = F.when(name.startswith("small"), F.struct(F.lit("camera").alias("p"), F.lit("dangerous").alias("l"))).when(name.startswith("red"), F.struct(F.lit("wifi").alias("p"), F.lit("normal").alias("l")))
+    api = _t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), name.alias("api"), perm.alias("x")).where("x is not null").select("l_partkey", "api", F.col("x.p").alias("permission"), F.col("x.l").alias("level"))
+    got = R.permission_callers(api, _t(spark, d, "lineitem"), "l_partkey", "l_suppkey", F.col("l_suppkey") < 10, levels)
+    return got.select("permission", F.explode("apis").alias("a")).select("permission", "a.api", F.array_join("a.callers", ",").alias("callers"))
+
+
+_PERM = "select permission, p_name as api, array_to_string(list_sort(list(distinct l_suppkey)), ',') as callers from (values ('small', 'camera', 'dangerous'), ('red', 'wifi', 'normal')) v(prefix, permission, level) join part on starts_with(p_name, prefix) join lineitem on l_partkey = p_partkey where l_suppkey >= 10"
 
 
-@_query("""select perm, p_partkey as api, count(distinct l_suppkey) as n_callers
-from (values ('small', 'camera'), ('red', 'location')) v(prefix, perm) join part on starts_with(p_name, prefix)
-join lineitem on l_partkey = p_partkey where l_suppkey >= 10 group by all""")
+@_query(f"{_PERM} group by all")
 def permission_callers(spark, d):
-    perm = F.when(F.col("p_name").startswith("small"), "camera").when(F.col("p_name").startswith("red"), "location")
-    api = _t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), perm.alias("perm")).where("perm is not null")
-    sites = R.sites_to(_t(spark, d, "lineitem").where("l_suppkey >= 10"), api, "l_partkey")
-    return sites.groupBy("perm", F.col("l_partkey").alias("api")).agg(F.count_distinct("l_suppkey").alias("n_callers"))
+    return _permissions(spark, d, None)
 
 
-_CATALOG = {"purchase": ["payment", "network"], "signup": ["identity"], "click": ["ui"]}
-_UNNEST = "(select event_type as api, user_id as caller, user_id < 20 as dropped, unnest(case event_type when 'purchase' then ['payment', 'network'] when 'signup' then ['identity'] when 'click' then ['ui'] end) as tag from events)"
+@_query(f"{_PERM} and level = 'dangerous' group by all")
+def dangerous_permission_callers(spark, d):
+    return _permissions(spark, d, ["dangerous"])
 
 
-def _touches(spark, d):
-    return R.touches(_t(spark, d, "events"), "event_type", "user_id", _CATALOG, F.col("user_id") < 20)
+_CATALOG = [("purchase", ["payment", "network"], ["spends"]), ("signup", ["identity"], []), ("click", ["ui"], ["input", "spends"])]
+_CALLS = "('view', 'click', 'purchase')"
+_TOUCH = f"""(select event_type as api, user_id as caller, user_id < 20 as dropped, case when event_type in {_CALLS} then 'call' else 'read' end as kind,
+unnest(case event_type when 'purchase' then ['category:payment', 'category:network', 'flag:spends'] when 'signup' then ['category:identity'] when 'click' then ['category:ui', 'flag:input', 'flag:spends'] end) as tagged from events)"""
 
 
-@_query(f"select tag, count(*) as n_touches, count(distinct caller) as n_callers from {_UNNEST} where not dropped group by tag")
+def _touches(spark, d, tags=None):
+    cat = spark.createDataFrame(_CATALOG, "api string, categories array<string>, flags array<string>")
+    if tags:
+        cat = R.only_categories(cat, tags, ["payment", "network", "identity", "ui", "spends", "input"])
+    e, calls = _t(spark, d, "events"), F.col("event_type").isin("view", "click", "purchase")
+    return R.touches(e.where(calls), "event_type", "user_id", cat, F.col("user_id") < 20, e.where(~calls))
+
+
+@_query(f"select split_part(tagged, ':', 1) as axis, split_part(tagged, ':', 2) as tag, count(*) as n_touches, count(distinct caller) as n_callers from {_TOUCH} where not dropped group by all")
 def capability_counts(spark, d):
     return R.capability_counts(_touches(spark, d))
 
 
-@_query(f"select api, sum(dropped::int)::bigint as dropped_touches, count(*) as touches, bool_and(dropped) as api_dropped from {_UNNEST} group by api")
+@_query(f"select split_part(tagged, ':', 1) as axis, split_part(tagged, ':', 2) as tag, count(*) as n_touches, count(distinct caller) as n_callers from {_TOUCH} where not dropped and api in ('purchase', 'click') group by all")
+def capability_only_categories(spark, d):
+    return R.capability_counts(_touches(spark, d, ["spends"]))
+
+
+@_query("""select event_type as api, sum((user_id < 20)::int)::bigint as dropped_touches, count(*) as touches, bool_and(user_id < 20) as api_dropped
+from events where event_type in ('purchase', 'signup', 'click') group by all""")
 def capability_dropped(spark, d):
     return R.dropped(_touches(spark, d))
 
 
-@_query(f"select tag, count(*) as n from {_UNNEST} group by tag order by n desc, tag limit 3")
+@_query("""select event_type as api, count(*) filter (where event_type <> 'signup') as calls, count(*) filter (where event_type = 'signup') as reads, count(distinct user_id) as callers, true as truncated
+from events where event_type in ('purchase', 'signup', 'click') and user_id >= 20 group by all order by count(*) desc, api limit 2""")
+def capability_ranking(spark, d):
+    return R.capability_apis(_touches(spark, d), 2)
+
+
+@_query("""select user_id as caller, array_to_string(list_sort(list(distinct event_type)), ',') as apis from events
+where event_type in ('purchase', 'signup', 'click') and user_id >= 20 group by all""")
+def capability_by_caller(spark, d):
+    return R.capability_by_caller(_touches(spark, d)).withColumn("apis", F.array_join("apis", ","))
+
+
+@_query(f"select split_part(tagged, ':', 2) as tag, count(*) as n from {_TOUCH} where starts_with(tagged, 'category') group by tag order by n desc, tag limit 3")
 def top_categories(spark, d):
-    return R.top(_touches(spark, d), "tag", 3)
+    return R.top(_touches(spark, d).select(F.explode("categories").alias("tag")), "tag", 3)
+
+
+@_query("""select a.n_nationkey as sub, b.r_regionkey + 100 as sup from nation a join region b on a.n_regionkey = b.r_regionkey
+union select n_nationkey, 1000 from nation union select r_regionkey + 100, 1000 from region""")
+def hierarchy_closure(spark, d):
+    n = _t(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("sub"), (F.col("n_regionkey") + 100).cast("int").alias("sup"))
+    r = _t(spark, d, "region").select((F.col("r_regionkey") + 100).cast("int").alias("sub"), F.lit(1000).alias("sup"))
+    return R.assignable(n.unionByName(r), "sub", "sup")
 
 
 @_query("select event_type, user_id % 4 as bucket, count(*) as n from events group by cube (event_type, user_id % 4)")
@@ -216,11 +361,14 @@ def ioc_emails(spark, d):
     return ioc.extract(_t(spark, d, "documents"), "doc_id", "text", T.EMAIL)
 
 
-@_query(r"""with m as (select doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)+')) as value from documents)
-select distinct doc_id, value from m where regexp_full_match(value, '(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])')""")
+_OCTETS = r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+
+
+@_query(rf"""with m as (select doc_id, unnest(regexp_extract_all({_nested_replace('text')}, '[0-9]+(?:\.[0-9]+)+(?::[0-9]{{1,5}})?')) as value from documents)
+select distinct doc_id, value from m where regexp_full_match(value, '{_OCTETS}(?::[0-9]{{1,5}})?')""")
 def ioc_ips(spark, d):
-    got = ioc.extract(_t(spark, d, "documents"), "doc_id", "text", T.IPV4)
-    return got.select("doc_id", F.regexp_replace("value", ":.*", "").alias("value")).distinct()
+    """Addresses with their port."""
+    return ioc.extract(_t(spark, d, "documents"), "doc_id", "text", T.IPV4)
 
 
 @_query(r"""select distinct page_id, regexp_replace(regexp_extract(url, '(?:https?|ftp|wss?)://[^ \t\r\n"''<>\\]+'), '[.,);"'']+$', '') as value from pages where regexp_matches(url, '(?:https?|ftp|wss?)://[^ ]')""")
@@ -233,10 +381,36 @@ def ioc_hosts(spark, d):
     return ioc.hosts(_t(spark, d, "pages"), "page_id", "url")
 
 
-@_query()
+_SUFFIX_LIST = "[" + ", ".join(f"'{x}'" for x in T.SUFFIXES) + "]"
+
+@_query(rf"""with r as (select doc_id, {_nested_replace('substring(text, 1, 65536)')} as c from documents),
+e as (select unnest(regexp_extract_all(c, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+')) as m from r),
+em as (select distinct regexp_extract(m, '^[A-Za-z0-9._%+-]{{1,64}}@[A-Za-z0-9.-]{{1,253}}\.[A-Za-z]{{2,24}}') as value from e),
+ip as (select distinct value from (select unnest(regexp_extract_all(c, '[0-9]+(?:\.[0-9]+)+(?::[0-9]{{1,5}})?')) as value from r) where regexp_full_match(value, '{_OCTETS}(?::[0-9]{{1,5}})?'))
+select 'emails' as category, count(*) as n_values from em where value <> '' having count(*) > 0
+union all select 'ips', count(*) from ip having count(*) > 0""")
 def ioc_counts(spark, d):
-    docs, pages = _t(spark, d, "documents"), _t(spark, d, "pages")
-    return ioc.counts({"email": ioc.extract(docs, "doc_id", "text", T.EMAIL), "ipv4": ioc.extract(docs, "doc_id", "text", T.IPV4), "onion": ioc.extract(docs, "doc_id", "text", T.ONION), "url": ioc.urls(pages, "page_id", "url"), "host": ioc.hosts(pages, "page_id", "url")})
+    """Distinct mail addresses and IPs of documents, with one reading for all categories."""
+    return ioc.counts(ioc.scan(_t(spark, d, "documents"), "doc_id", "text").where(F.col("category").isin("emails", "ips")))
+
+
+@_query(r"""select distinct page_id, 'urls' as category, regexp_replace(regexp_extract(url, '(?:https?|ftp|wss?)://[^ \t\r\n"''<>\\]+'), '[.,);"'']+$', '') as value from pages where regexp_matches(url, '(?:https?|ftp|wss?)://[^ ]')""")
+def ioc_scan_urls(spark, d):
+    return ioc.scan(_t(spark, d, "pages"), "page_id", "url").where("category = 'urls'")
+
+
+@_query(r"""with h as (select page_id, lower(regexp_extract(url, '://(?:[^/?#]*@)?([^/?#:]*)', 1)) as value from pages)
+select distinct page_id, 'domains' as category, value from h where regexp_full_match(value, '[^.]+(\.[^.]+)+')
+and list_contains(""" + _SUFFIX_LIST + r""", string_split(value, '.')[-1]) and not list_contains(['com', 'org', 'net', 'edu', 'gov', 'mil', 'int'], string_split(value, '.')[1])""")
+def ioc_domains(spark, d):
+    """Hosts of pages; all are one label and a suffix, or more."""
+    return ioc.scan(_t(spark, d, "pages"), "page_id", "url").where("category = 'domains'")
+
+
+@_query("select 'urls' as category, url as value, 1 = 1 as searched from (select distinct url from pages where starts_with(url, 'http') order by url limit 0)")
+def ioc_budget(spark, d):
+    """The search budget takes categories in order of priority; with a budget of none nothing is searched."""
+    return ioc.searched(ioc.scan(_t(spark, d, "pages"), "page_id", "url"), 0).where("searched")
 
 
 @_query("""with v as (select distinct unnest(regexp_extract_all(text, 'src[0-9]+|item[0-9]+|[A-Z][a-z]+ License')) as value from documents order by value limit 300)
@@ -254,19 +428,72 @@ def provider_uris(spark, d):
 
 
 @_query(r"""with h as (select distinct string_split(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '.') as l from pages)
-select distinct array_to_string(l[1:k], '.') as prefix from h, unnest(generate_series(1, len(l))) g(k)""")
+select distinct array_to_string(l[1:k], '.') as prefix from h, unnest(generate_series(1, len(l))) g(k) where regexp_full_match(array_to_string(l, '.'), '[a-z0-9_$]+([.][a-z0-9_$]+)*')""")
 def package_prefixes(spark, d):
     return R.package_prefixes(_t(spark, d, "pages"), T.host_of(F.col("url")))
 
 
-_DESC = ["I", "[I", "Ljava/lang/String;", "[[Lcom/x/Y;", "V", "junk", "[", "La;"]
+_MALFORMED = "(values ('[', '[]'), ('[junk', 'junk[]'), ('L;', ''), ('junk', 'junk'), ('[I', 'int[]'), ('V', 'void'))"
 
 
-@_query("select * from (values ('I', 'int'), ('[I', 'int[]'), ('Ljava/lang/String;', 'java.lang.String'), ('[[Lcom/x/Y;', 'com.x.Y[][]'), ('V', 'void'), ('junk', 'junk'), ('[', '['), ('La;', 'a')) v(d, java)")
+@_query(f"""select p_partkey, replace(p_name, ' ', '.') || repeat('[]', (p_size % 3)::int) as java from part
+union all select -1, java from {_MALFORMED} v(d, java)""")
 def descriptor_java(spark, d):
-    return spark.createDataFrame([(x,) for x in _DESC], "d string").select("d", D.descriptor_to_java(F.col("d")).alias("java"))
+    p = _t(spark, d, "part").select(F.col("p_partkey").cast("long"), F.concat(F.repeat(F.lit("["), F.col("p_size").cast("int") % 3), F.lit("L"), F.translate("p_name", " ", "/"), F.lit(";")).alias("d"))
+    bad = spark.createDataFrame([(-1, x) for x in ("[", "[junk", "L;", "junk", "[I", "V")], "p_partkey long, d string")
+    return p.unionByName(bad).select("p_partkey", D.descriptor_to_java(F.col("d")).alias("java"))
+
+
+@_query("select p_partkey, repeat('[', (p_size % 3)::int) || case when p_size % 5 = 0 then 'J' else 'L' || replace(p_name, ' ', '/') || ';' end as d from part")
+def descriptor_from_java(spark, d):
+    base = F.when(F.col("p_size") % 5 == 0, "long").otherwise(F.translate("p_name", " ", "."))
+    return _t(spark, d, "part").select("p_partkey", D.java_to_descriptor(F.concat(base, F.repeat(F.lit("[]"), F.col("p_size").cast("int") % 3))).alias("d"))
 
 
-@_query("select * from (values ('(I[JLjava/lang/String;)V', '(int, long[], java.lang.String) -> void'), ('()Z', '() -> boolean')) v(p, pretty)")
+def _proto():
+    size, name = F.col("p_size") % 4, F.translate("p_name", " ", "/")
+    return F.when(size == 0, "II)V").when(size == 1, "(I[)V").when(size == 2, F.concat(F.lit("(I[JL"), name, F.lit(";)Z"))).otherwise("()V")
+
+
+@_query("select p_partkey, case when p_size % 4 < 2 then null when p_size % 4 = 2 then '(int, long[], ' || replace(p_name, ' ', '.') || ') -> boolean' else '() -> void' end as pretty from part")
 def proto_pretty(spark, d):
-    return spark.createDataFrame([("(I[JLjava/lang/String;)V",), ("()Z",)], "p string").select("p", D.pretty_proto(F.col("p")).alias("pretty"))
+    """Malformed protos (no parenthesis, dangling array) give NULL."""
+    return _t(spark, d, "part").select("p_partkey", D.pretty_proto(_proto()).alias("pretty"))
+
+
+@_query("""select p_partkey, 'a.B' as java_class, case when p_size % 4 = 2 then 3 when p_size % 4 = 3 then 0 end as n_params, case when p_size % 4 = 2 then 'Z' when p_size % 4 = 3 then 'V' end as return_type,
+p_size % 3 = 0 as is_constructor, 'La/B;->' || case when p_size % 3 = 0 then '<init>' else 'm' end || case p_size % 4 when 0 then 'II)V' when 1 then '(I[)V' when 2 then '(I[JL' || replace(p_name, ' ', '/') || ';)Z' else '()V' end as signature from part""")
+def enrich_method(spark, d):
+    name = F.when(F.col("p_size") % 3 == 0, "<init>").otherwise("m")
+    p = _t(spark, d, "part").select("p_partkey", *D.enrich_method(F.lit("La/B;"), name, _proto()))
+    return p.select("p_partkey", "java_class", F.when(F.col("parameters").isNotNull(), F.size("parameters")).alias("n_params"), "return_type", "is_constructor", "signature")
+
+
+@_query("""select * from (values ('La/B;', true, false), ('[[I', true, false), ('V', true, false), ('L;', false, false), ('[', false, false), ('Ljava.lang.String;', false, false), ('La/My Class;', true, false),
+('La/B;->m(I)V', false, true), ('La/B;->f:I', false, true), ('La/B;->f', false, false), ('a.B->f:I', false, false), ('La/B;->f:junk', false, false), ('', false, false)) v(d, is_type, is_member)""")
+def descriptor_kinds(spark, d):
+    rows = ["La/B;", "[[I", "V", "L;", "[", "Ljava.lang.String;", "La/My Class;", "La/B;->m(I)V", "La/B;->f:I", "La/B;->f", "a.B->f:I", "La/B;->f:junk", ""]
+    c = F.col("d")
+    return spark.createDataFrame([(x,) for x in rows], "d string").select("d", D.is_type_descriptor(c).alias("is_type"), D.is_member_descriptor(c).alias("is_member"))
+
+
+@_query("""select * from (values ('Landroid/app/A;', true, false), ('[[Ljava/lang/String;', true, false), ('Landroidx/a/B;', false, true), ('Lkotlin/A;', true, true), ('Lorg/json/J;', true, false),
+('Lcom/google/gson/G;', false, true), ('Lapp/X;', false, false), ('[I', false, false)) v(d, framework, library)""")
+def framework_sets(spark, d):
+    rows = ["Landroid/app/A;", "[[Ljava/lang/String;", "Landroidx/a/B;", "Lkotlin/A;", "Lorg/json/J;", "Lcom/google/gson/G;", "Lapp/X;", "[I"]
+    c = F.col("d")
+    return spark.createDataFrame([(x,) for x in rows], "d string").select("d", D.is_framework(c).alias("framework"), D.is_library_caller(c).alias("library"))
+
+
+@_query("""select p_partkey, array_to_string(list_filter([case when p_size & 1 > 0 then 'public' end, case when p_size & 2 > 0 then 'private' end, case when p_size & 4 > 0 then 'protected' end,
+case when p_size & 8 > 0 then 'static' end, case when p_size & 16 > 0 then 'final' end, 'interface'], lambda x: x is not null), ' ') as names from part""")
+def access_flags(spark, d):
+    """Class flags with interface and abstract set: abstract is not named."""
+    flags = F.col("p_size").cast("int").bitwiseAND(31).bitwiseOR(0x600)
+    return _t(spark, d, "part").select("p_partkey", F.array_join(D.class_flag_names(flags), " ").alias("names"))
+
+
+@_query("""select * from (values ('foo.com/x', ''), ('http://[foo:80/x', '[foo'), ('http://u:p@Evil.com:8080/c2', 'evil.com'), ('ftp://[::1]:21/', '::1'), ('http://a?b', 'a')) v(url, host)""")
+def host_of(spark, d):
+    rows = ["foo.com/x", "http://[foo:80/x", "http://u:p@Evil.com:8080/c2", "ftp://[::1]:21/", "http://a?b"]
+    return spark.createDataFrame([(x,) for x in rows], "url string").select("url", T.host_of(F.col("url")).alias("host"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Names of match types.
 _KINDS = {
     "equals": "equals", "equal": "equals", "contains": "contains",
     "starts_with": "prefix", "startswith": "prefix", "start_with": "prefix",
@@ -30,7 +34,9 @@ def match(col: str | Column, query: str, match_type: str = "contains", ignore_ca
 
 def all_match(strings: Column, queries: list[str], match_type: str = "contains", ignore_case: bool = False) -> Column:
     """Every query is matched by some string of the array; no query is matched vacuously."""
-    out = F.lit(True)
-    for q in queries:
-        out = out & F.exists(strings, lambda s, q=q: match(s, q, match_type, ignore_case))
-    return out
+    found = [F.exists(strings, _matcher(q, match_type, ignore_case)) for q in queries]
+    return reduce(lambda a, b: a & b, found, F.lit(True))
+
+
+def _matcher(q: str, match_type: str, ignore_case: bool) -> Callable[[Column], Column]:
+    return lambda s: match(s, q, match_type, ignore_case)

@@ -20,12 +20,37 @@ def refang(c: Column) -> Column:
     return c
 
 
+#: Bare hosts; roots and hosts that are identifiers, not places; word-like suffixes.
+HOST = r"(?i)(?<![A-Za-z0-9_])(?:[a-z0-9][a-z0-9-]{0,62}\.){1,32}[a-z]{2,24}(?![A-Za-z0-9_])"
+DROP_ROOTS = ("com", "org", "net", "edu", "gov", "mil", "int", "android", "androidx", "java", "javax", "kotlin", "kotlinx", "dalvik", "sun", "junit")
+NONHOST_SUFFIXES = ("name", "one", "group", "read", "support", "secure", "info", "run", "google", "ms", "java", "type", "prod", "build", "now", "new", "win", "men", "review", "country", "kim", "mov", "zip", "foo", "bar")
+NAMESPACE_HOSTS = ("schemas.android.com", "schemas.xmlsoap.org", "schemas.microsoft.com", "schemas.openxmlformats.org", "xmlpull.org", "www.xmlpull.org", "www.w3.org", "w3.org", "java.sun.com", "ns.adobe.com", "purl.org")
+#: Public suffixes that ship with the engine (a full list needs the network): a parameter of every function that uses it.
+SUFFIXES = ("com", "org", "net", "edu", "gov", "mil", "int", "io", "info", "biz", "de", "fr", "uk", "co.uk", "es", "it", "nl", "ru", "cn", "com.cn", "jp", "co.jp", "kr", "in", "br", "com.br", "au", "com.au", "ca", "ch", "at", "be", "se", "no", "dk", "fi", "pl", "pt", "eu", "us", "me", "tv", "app", "dev", "xyz", "top", "site", "online", "onion", "example")
+#: Characters of one string that are scanned.
+MOST_CHARS = 65536
+
+
 def host_of(url: Column) -> Column:
-    """Lower-cased host: after ://, before / ? #, without user and port."""
-    rest = F.regexp_replace(url, r"^.*?://", "")
-    authority = F.regexp_extract(rest, r"^([^/?#]*)", 1)
+    """Lower-cased host: after ://, before / ? #, without user and port; empty without ://. An unclosed [ ends at the first colon."""
+    authority = F.regexp_extract(url, r"^.*?://([^/?#]*)", 1)
     host = F.regexp_extract(authority, r"([^@]*)$", 1)
-    return F.lower(F.when(host.startswith("["), F.regexp_extract(host, r"^\[([^\]]*)", 1)).otherwise(F.regexp_extract(host, r"^([^:]*)", 1)))
+    closed = F.regexp_extract(host, r"^\[([^\]]*)\]", 1)
+    return F.lower(F.when(host.rlike(r"^\[[^\]]*\]"), closed).otherwise(F.regexp_extract(host, r"^([^:]*)", 1)))
+
+
+def public_suffix(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The longest suffix of the list that a registered name stands before; empty if there is none."""
+    two = F.substring_index(host, ".", -2)
+    one = F.substring_index(host, ".", -1)
+    before = lambda s: F.char_length(host) > F.char_length(s) + 1
+    return F.when(two.isin(*[s for s in suffixes if "." in s]), F.when(before(two), two).otherwise("")).when(one.isin(*suffixes) & before(one), one).otherwise("")
+
+
+def is_package_like(host: Column, packages: Column | None = None) -> Column:
+    """A namespace host, a package of the table at hand (a boolean column), or a name under a reversed or platform root."""
+    out = host.isin(*NAMESPACE_HOSTS) | F.substring_index(host, ".", 1).isin(*DROP_ROOTS)
+    return out if packages is None else out | packages
 
 
 def found(c: Column, pattern: str) -> Column:

@@ -23,13 +23,55 @@ def hosts(df: DataFrame, entity: str, text: str) -> DataFrame:
     return urls(df, entity, text).select(entity, T.host_of(F.col("value")).alias("value")).distinct()
 
 
-def counts(parts: dict[str, DataFrame]) -> DataFrame:
-    """Distinct values by category."""
-    out = None
-    for name, df in parts.items():
-        one = df.select("value").distinct().agg(F.count(F.lit(1)).alias("n_values")).select(F.lit(name).alias("category"), "n_values")
-        out = one if out is None else out.unionByName(one)
-    return out
+#: Order in which categories spend a budget of searches.
+PRIORITY = ("onion", "ips", "domains", "emails", "urls")
+
+
+def scan(df: DataFrame, entity: str, text: str, denoise: bool = True, suffixes: tuple[str, ...] = T.SUFFIXES) -> DataFrame:
+    """Distinct (entity, category, value) of all five categories, in one reading of the text.
+
+    Strings are cut to T.MOST_CHARS (the contract), refanged once, and scanned by all patterns in one projection.
+    """
+    c = T.refang(F.substring(F.col(text), 1, T.MOST_CHARS))
+    once = df.select(F.col(entity).alias("entity"), c.alias("c"))
+    trim = lambda x: F.regexp_replace(x, r"[.,);\"']+$", "")
+    urls = F.transform(T.found(F.col("c"), T.URL), trim)
+    onion = F.transform(T.found(F.col("c"), T.ONION), F.lower)
+    hosts = F.transform(T.found(F.col("c"), T.HOST), F.lower)
+    bare = F.filter(hosts, lambda h: ~h.endswith(".onion") & _is_domain(h, suffixes) & ~F.substring_index(h, ".", -1).isin(*T.NONHOST_SUFFIXES))
+    named = F.transform(urls, T.host_of)
+    named = F.filter(named, lambda h: F.contains(h, F.lit(".")) & ~h.rlike("^" + T.IPV4 + "$") & ~h.endswith(".onion") & _is_domain(h, suffixes))
+    domains = F.array_union(bare, named)
+    if denoise:
+        urls = F.filter(urls, lambda u: ~T.host_of(u).isin(*T.NAMESPACE_HOSTS))
+        domains = F.filter(domains, lambda h: ~T.is_package_like(h))
+    parts = {"onion": onion, "ips": T.found(F.col("c"), T.IPV4), "domains": domains, "emails": T.found(F.col("c"), T.EMAIL), "urls": urls}
+    every = F.concat(*[F.transform(v, _tagged(k)) for k, v in parts.items()])
+    return once.select("entity", F.explode(F.array_distinct(every)).alias("i")).select(F.col("entity").alias(entity), "i.category", "i.value").distinct()
+
+
+def _tagged(category: str):
+    return lambda x: F.struct(F.lit(category).alias("category"), x.alias("value"))
+
+
+def _is_domain(h: Column, suffixes: tuple[str, ...]) -> Column:
+    return T.public_suffix(h, suffixes) != ""
+
+
+def counts(found: DataFrame) -> DataFrame:
+    """Distinct values by category; found has category and value."""
+    return found.select("category", "value").distinct().groupBy("category").agg(F.count(F.lit(1)).alias("n_values"))
+
+
+def searched(values: DataFrame, limit: int = 300) -> DataFrame:
+    """The distinct (category, value) and whether the budget reaches it: onion first, then ips, domains, emails, urls; by value inside.
+
+    Only the first `limit` rows of the order are looked at (a top-k), so no task sorts all values.
+    """
+    rank = F.array_position(F.array(*[F.lit(c) for c in PRIORITY]), F.col("category"))
+    vals = values.select("category", "value").distinct()
+    first = vals.orderBy(rank, "value").limit(limit).withColumn("searched", F.lit(True))
+    return vals.join(first, ["category", "value"], "left").select("category", "value", F.coalesce("searched", F.lit(False)).alias("searched"))
 
 
 def xref(values: DataFrame, df: DataFrame, entity: str, text: str, limit: int = 300) -> DataFrame:
@@ -38,6 +80,14 @@ def xref(values: DataFrame, df: DataFrame, entity: str, text: str, limit: int =
     return df.join(few, F.contains(F.col(text), F.col("value"))).select("value", entity)
 
 
+def report(df: DataFrame, entity: str, text: str, limit: int = 300, denoise: bool = True) -> DataFrame:
+    """category, value, entities (sorted; empty beyond the budget) of every indicator."""
+    vals = searched(scan(df, entity, text, denoise), limit)
+    hits = xref(vals.where("searched"), df, entity, text, limit).groupBy("value").agg(F.sort_array(F.collect_set(entity)).alias("entities"))
+    none = F.array().cast(hits.schema["entities"].dataType)
+    return vals.join(hits, "value", "left").select("category", "value", F.when(F.col("searched"), F.coalesce("entities", none)).otherwise(none).alias("entities"))
+
+
 def provider_uris(df: DataFrame, text: str, uris: dict[str, str]) -> DataFrame:
     """(uri, family, n_rows) for catalogue URIs that are substrings of some text."""
     hit = F.array_compact(F.array(*[F.when(F.contains(F.col(text), F.lit(u)), F.struct(F.lit(u).alias("uri"), F.lit(f).alias("family"))) for u, f in uris.items()]))
