@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import byte_slices, ragged_take, text_or_empty
 
 #: Pieces that a worker holds at once: bounds its memory.
-PIECES_AT_ONCE = 500_000
+PIECES_AT_ONCE = 2_000_000
 #: Texts of more bytes than this are not split in the JVM.
 LONG_TEXT = 4 << 20
 #: Unicode's White_Space, as \s of the tokenizer libraries.
@@ -34,14 +34,14 @@ JAVA_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{
 def split(text: str) -> tuple[Column, Column]:
     """(array<string> of the pieces in order, text left to Python): one of the two is null. A null text has no pieces."""
     t = text_or_empty(text)
-    left = t.rlike(r"\p{Cn}") | (F.octet_length(t) > LONG_TEXT)
+    left = (F.octet_length(t) > LONG_TEXT) | ((F.octet_length(t) != F.char_length(t)) & t.rlike(r"\p{Cn}"))  # ASCII texts need no search
     return F.when(~left, F.regexp_extract_all(t, F.lit(JAVA_PATTERN), F.lit(0))), F.when(left, t)
 
 
 class Pieces:
     """Dictionary of pieces: ids (int32) and, if the encoder gives them, decoded bytes, both ragged."""
 
-    def __init__(self, encode: Callable, most: int = 400_000) -> None:
+    def __init__(self, encode: Callable, most: int = 800_000) -> None:
         self.encode, self.most = encode, most
         self.clear()
 
