@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import byte_slices, ragged_take, text_or_empty
 
-#: Pieces that a worker holds at once: bounds its memory.
-PIECES_AT_ONCE = 2_000_000
+#: Pieces that a worker holds at once unless told otherwise: bounds its memory.
+PIECES_AT_ONCE = 300_000
 #: Texts of more bytes than this are not split in the JVM.
 LONG_TEXT = 4 << 20
 #: Unicode's White_Space, as \s of the tokenizer libraries.
@@ -41,7 +41,7 @@ def split(text: str) -> tuple[Column, Column]:
 class Pieces:
     """Dictionary of pieces: ids (int32) and, if the encoder gives them, decoded bytes, both ragged."""
 
-    def __init__(self, encode: Callable, most: int = 800_000) -> None:
+    def __init__(self, encode: Callable, most: int = 200_000) -> None:
         self.encode, self.most = encode, most
         self.clear()
 
@@ -73,9 +73,9 @@ class Pieces:
         return ragged_take(self.ids, at[k], n[k]), n[k], ragged_take(self.raw, raw_at[k], m[k]), m[k]
 
 
-def encoded(lists: pa.ListArray, known: Pieces) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def encoded(lists: pa.ListArray, known: Pieces, at_once: int = PIECES_AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, decoded bytes) of each list of pieces in turn; a null list has none."""
-    for a, b in byte_slices(pc.coalesce(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False) + 1, PIECES_AT_ONCE):
+    for a, b in byte_slices(pc.coalesce(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False) + 1, at_once):
         offs = lists[a:b].offsets.to_numpy().astype(np.int64)
         ids, n, raw, m = known.of(lists.values[offs[0] : offs[-1]])
         i, j = (np.concatenate([[0], np.cumsum(x)])[offs - offs[0]] for x in (n, m))

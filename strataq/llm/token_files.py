@@ -41,6 +41,8 @@ from .pieces import Pieces, encoded, split
 SELECTORS = ((0, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 30))
 ESCAPE = 0
 MAGIC = b"S8B1"
+#: Pieces that a worker numbers at once, and pieces that its dictionary keeps: bounds its memory.
+PIECES_AT_ONCE, DICTIONARY = 1_500_000, 600_000
 WIDEST = 30
 _vocab: dict[str, tuple[Pieces, Callable]] = {}
 
@@ -156,7 +158,7 @@ def _encoder(path: str) -> tuple[Pieces, Callable]:
             ids, lens, back = np.concatenate(ids), np.concatenate(lens), np.argsort(np.concatenate(order))
             return ragged_take(ids, (np.cumsum(lens) - lens)[back], lens[back]), lens[back], np.empty(0, np.uint8), np.zeros(len(words), np.int64)
 
-        _vocab[path] = Pieces(encode), lambda t: alone([t])[0]
+        _vocab[path] = Pieces(encode, DICTIONARY), lambda t: alone([t])[0]
     return _vocab[path]
 
 
@@ -175,7 +177,7 @@ def encode_ids(df: DataFrame, key: str, text: str, path: str, end_id: int) -> Da
         known, encode_whole = _encoder(path)
         for batch in batches:
             out, wide = [], []
-            for (ids, _), whole in zip(encoded(batch.column(1), known), batch.column(2), strict=True):
+            for (ids, _), whole in zip(encoded(batch.column(1), known, PIECES_AT_ONCE), batch.column(2), strict=True):
                 one = np.append(encode_whole(whole.as_py()) if whole.is_valid else ids, np.int32(end_id))
                 wide.append(bool(one.max() >= 1 << 16))
                 out.append(one.astype("<u4" if wide[-1] else "<u2").tobytes())
