@@ -42,7 +42,7 @@ SELECTORS = ((0, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7
 ESCAPE = 0
 MAGIC = b"S8B1"
 #: Pieces that a worker numbers at once, and pieces that its dictionary keeps: bounds its memory.
-PIECES_AT_ONCE, DICTIONARY = 1_500_000, 600_000
+PIECES_AT_ONCE, DICTIONARY = 1_000_000, 500_000
 WIDEST = 30
 _vocab: dict[str, tuple[Pieces, Callable]] = {}
 
