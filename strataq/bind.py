@@ -78,12 +78,12 @@ def search_declaring_strings(spark, d):
     return R.declaring_all_strings(_t(spark, d, "conversations").where("role = 'user'"), "conv_id", "text", ["a", "e"])
 
 
-@_query("select conv_id from conversations group by conv_id having bool_or(starts_with(text, 'a')) and bool_or(ends_with(text, '.'))")
+@_query("select conv_id from conversations group by conv_id having bool_or(contains(text, 'en')) and bool_or(contains(text, 'la'))")
 def array_quantifier(spark, d):
     from strataq.functions.match import all_match
 
     per = _t(spark, d, "conversations").groupBy("conv_id").agg(F.collect_set("text").alias("strings"))
-    return per.where(all_match(F.col("strings"), ["^a"], "regex") & all_match(F.col("strings"), [".$"], "regex")).select("conv_id")
+    return per.where(all_match(F.col("strings"), ["en", "la"])).select("conv_id")
 
 
 @_query("select p_partkey, p_name from part where exists (select 1 from lineitem where l_partkey = p_partkey) and contains(p_name, 'ring')")
@@ -407,10 +407,13 @@ def ioc_domains(spark, d):
     return ioc.scan(_t(spark, d, "pages"), "page_id", "url").where("category = 'domains'")
 
 
-@_query("select 'urls' as category, url as value, 1 = 1 as searched from (select distinct url from pages where starts_with(url, 'http') order by url limit 0)")
+@_query(r"""with h as (select distinct lower(regexp_extract(url, '://(?:[^/?#]*@)?([^/?#:]*)', 1)) as value from pages)
+select 'domains' as category, value, true as searched from h where regexp_full_match(value, '[^.]+(\.[^.]+)+')
+and list_contains(""" + _SUFFIX_LIST + r""", string_split(value, '.')[-1]) and not list_contains(['com', 'org', 'net', 'edu', 'gov', 'mil', 'int'], string_split(value, '.')[1])
+order by value limit 5""")
 def ioc_budget(spark, d):
-    """The search budget takes categories in order of priority; with a budget of none nothing is searched."""
-    return ioc.searched(ioc.scan(_t(spark, d, "pages"), "page_id", "url"), 0).where("searched")
+    """A budget of five searches: pages have no onion addresses or IPs, so domains spend it before urls."""
+    return ioc.searched(ioc.scan(_t(spark, d, "pages"), "page_id", "url"), 5).where("searched")
 
 
 @_query("""with v as (select distinct unnest(regexp_extract_all(text, 'src[0-9]+|item[0-9]+|[A-Z][a-z]+ License')) as value from documents order by value limit 300)
