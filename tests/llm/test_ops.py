@@ -443,3 +443,28 @@ def test_license_clauses_with_long_names():
     }
     for label, t in texts.items():
         assert label in {r[1] for r in license_scan.rules() if re.search(r[3], t)}
+
+
+def test_long_pieces(spark):
+    import random
+
+    import public_tokenizers as P
+    import tiktoken
+
+    worker = bpe.DuckBpe(P.path("byte_bpe_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=worker.ranks, special_tokens={})
+    rng = random.Random(1)
+    words = ["".join(rng.choice(parts) for _ in range(n)) for n in (257, 300, 3000) for parts in ("abcdefghijklmnopqrstuvwxyz", "ab", "a", "=", ["the", "ing", "--", "é", "x"])]
+    ids, lens = worker.encode_pieces(["x", *words, "hello"])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lens)[:-1])] == [enc._core_bpe.encode_single_piece(w.encode()) for w in ["x", *words, "hello"]]
+
+
+def test_identify_with_clashing_names(spark):
+    import corpus_pipeline as p
+
+    rows = [(i, "the cat and the dog of the house", "en", "a", True, 0.5, "x", 2, 3, "k") for i in range(40)]
+    rows += [(100 + i, "der hund und die katze", "de", "b", True, 0.5, "x", 2, 3, "k") for i in range(40)] + [(None, None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, rejected boolean, score double, lang_pred string, copies int, _row long, k1 string")
+    out = p.identify_language(spark, docs, "")
+    assert out.columns == docs.columns and out.count() == 80
+    assert p.mix_sources(spark, docs, "").columns == docs.columns and p.drop_exact_copies(spark, docs, "").count() == 3
