@@ -4,8 +4,9 @@ Byte-level BPE works on each piece by itself, so a distinct piece needs to be
 encoded once. The JVM splits texts; a Python worker numbers the pieces, some
 PIECES_AT_ONCE at a time, and encodes only those that its dictionary lacks.
 Texts with code points that Java does not know and texts of over LONG_TEXT bytes are
-left to Python, which splits them in stretches. The dictionary is emptied when it would hold
-more than `most` pieces: that changes speed only, never a result.
+left to Python, which splits them in stretches. When the dictionary would hold
+more than `most` pieces, those that came once only go, and the least used beyond half of it:
+that changes speed only, never a result.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ PIECES_AT_ONCE = 300_000
 LONG_TEXT = 4 << 20
 #: Unicode's White_Space, as \s of the tokenizer libraries.
 _SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
-#: The byte-level split pattern in Java's syntax.
-JAVA_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+#: The byte-level split pattern in Java's syntax; runs that nothing follows are possessive.
+JAVA_PATTERN = rf"'(?:[stmd]|re|ve|ll)| ?\p{{L}}++| ?\p{{N}}++| ?[^{_SPACE}\p{{L}}\p{{N}}]++|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 
 
 def split(text: str) -> tuple[Column, Column]:
@@ -49,28 +50,49 @@ class Pieces:
         self.at: dict[str, int] = {}
         self.ids, self.lens = np.empty(0, np.int32), np.empty(0, np.int64)
         self.raw, self.raw_lens = np.empty(0, np.uint8), np.empty(0, np.int64)
+        self.used = np.empty(0, np.int64)  # slices that had the piece
+
+    def shrink(self) -> None:
+        """Keep pieces of two slices or more, the most used ones up to half of the room."""
+        order = np.argsort(-self.used, kind="stable")[: self.most // 2]
+        stay = np.sort(order[self.used[order] > 1])
+        words = list(self.at)
+        self.at = {words[k]: i for i, k in enumerate(stay.tolist())}
+        ends, raw_ends = np.cumsum(self.lens), np.cumsum(self.raw_lens)
+        self.ids = ragged_take(self.ids, (ends - self.lens)[stay], self.lens[stay])
+        self.raw = ragged_take(self.raw, (raw_ends - self.raw_lens)[stay], self.raw_lens[stay])
+        self.lens, self.raw_lens, self.used = self.lens[stay], self.raw_lens[stay], self.used[stay]
 
     def of(self, flat: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all pieces in turn, ids in each, decoded bytes of all, bytes in each)."""
         d = flat.dictionary_encode()
-        words = d.dictionary.to_pylist()
-        new = [w for w in words if w not in self.at]
+        words = d.dictionary.to_numpy(zero_copy_only=False).tolist()  # far quicker than to_pylist()
+        num = np.array([self.at.get(w, -1) for w in words], np.int64)
+        new = [words[i] for i in np.flatnonzero(num < 0).tolist()]
         if self.at and len(self.at) + len(new) > self.most:
-            self.clear()
-            new = words
+            self.shrink()
+            if len(self.at) + sum(w not in self.at for w in words) > self.most:
+                self.clear()
+            num = np.array([self.at.get(w, -1) for w in words], np.int64)
+            new = [words[i] for i in np.flatnonzero(num < 0).tolist()]
         if new:
             ids, lens, raw, raw_lens = self.encode(new)
             base = len(self.at)
+            num[num < 0] = np.arange(base, base + len(new))
             self.at.update(zip(new, range(base, base + len(new)), strict=True))
             self.ids, self.lens = np.concatenate([self.ids, ids]), np.concatenate([self.lens, lens])
             self.raw, self.raw_lens = np.concatenate([self.raw, raw]), np.concatenate([self.raw_lens, raw_lens])
+            self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
         if not words:
             return np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.uint8), np.empty(0, np.int64)
-        num = np.array([self.at[w] for w in words], np.int64)
+        self.used[num] += 1
         k = d.indices.to_numpy(zero_copy_only=False)
-        n, m = self.lens[num], self.raw_lens[num]
-        at, raw_at = (np.cumsum(self.lens) - self.lens)[num], (np.cumsum(self.raw_lens) - self.raw_lens)[num]
-        return ragged_take(self.ids, at[k], n[k]), n[k], ragged_take(self.raw, raw_at[k], m[k]), m[k]
+        n = self.lens[num][k]
+        ids = ragged_take(self.ids, (np.cumsum(self.lens) - self.lens)[num][k], n)
+        if not len(self.raw):
+            return ids, n, self.raw, np.zeros(len(k), np.int64)
+        m = self.raw_lens[num][k]
+        return ids, n, ragged_take(self.raw, (np.cumsum(self.raw_lens) - self.raw_lens)[num][k], m), m
 
 
 def encoded(lists: pa.ListArray, known: Pieces, at_once: int = PIECES_AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -57,17 +57,21 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    width = np.maximum(np.frexp(ids.astype(np.float64))[1], 1)  # bits; at 2**53 and more rounding may add one, which is wide anyway
+    width = np.maximum(np.frexp(ids.astype(np.float64))[1], 1).astype(np.int8)  # bits; at 2**53 and more rounding may add one, which is wide anyway
     least = int(width.min())
     best = np.zeros(n, np.int8)  # selector by place; 0: escape
     for s in range(len(SELECTORS) - 1, 0, -1):
         count, bits = SELECTORS[s]
         if count > n or bits < least:
             continue
-        bad = np.concatenate([[0], np.cumsum(width > bits)])
-        ok = np.flatnonzero(bad[count:] == bad[:-count])
-        best[ok] = s
-    step = np.array([1, *(c for c, _ in SELECTORS[1:])])[best].tolist()
+        bad = np.concatenate([[-1], np.flatnonzero(width > bits), [n]])
+        runs = np.flatnonzero(np.diff(bad) > count)  # between two wide ids: at least `count` others
+        if len(runs):
+            turn = np.zeros(n + 1, np.int8)
+            turn[bad[runs] + 1] = 1
+            turn[bad[runs + 1] - count + 1] = -1
+            best[np.cumsum(turn[:n], dtype=np.int8) > 0] = s
+    step = np.array([1, *(c for c, _ in SELECTORS[1:])], np.uint8)[best].tobytes()
     at, places = 0, []
     while at < n:
         places.append(at)
@@ -79,8 +83,10 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         here = np.flatnonzero(sel == s)
         if len(here):
             count, bits = SELECTORS[s]
-            block = ids[places[here][:, None] + np.arange(count)]
-            words[here] |= np.bitwise_or.reduce(block << (np.arange(count, dtype=np.uint64) * np.uint64(bits) + np.uint64(4)), axis=1)
+            first, word = places[here], words[here]
+            for k in range(count):
+                word |= ids[first + k] << np.uint64(bits * k + 4)
+            words[here] = word
     return words, ids[places[sel == ESCAPE]]
 
 

@@ -375,6 +375,27 @@ def test_pipeline_keeps_rows_of_shared_and_null_ids(spark):
     assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter(near)
 
 
+def test_pieces_dictionary_shrinks():
+    """A dictionary that drops pieces gives the results of one that keeps all."""
+    import pyarrow as pa
+
+    from strataq.llm.pieces import Pieces
+
+    def encode(words):
+        raw = [w.encode() for w in words]
+        n = np.array([len(x) for x in raw], np.int64)
+        flat = np.frombuffer(b"".join(raw), np.uint8)
+        return flat.astype(np.int32), n, flat, n
+
+    rng, small = np.random.default_rng(3), Pieces(encode, 40)
+    for _ in range(60):
+        part = [f"p{k}" for k in np.minimum(rng.geometric(0.04, 60), 400)]
+        ids, n, raw, m = small.of(pa.array(part))
+        assert raw.tobytes().decode() == "".join(part) and n.tolist() == m.tolist() == [len(x) for x in part]
+        assert ids.tolist() == list(raw) and (len(small.at) <= 40 or len(set(part)) > 40)
+        assert list(small.at.values()) == list(range(len(small.lens))) and len(small.used) == len(small.lens)
+
+
 def test_token_files_added_tokens(spark):
     import public_tokenizers as P
     from tokenizers import Tokenizer
