@@ -35,6 +35,8 @@ from .pieces import Pieces, encoded, encoded_here, split
 IDS_AT_ONCE = 1 << 20
 #: Pieces of more bytes than this are encoded in windows of a fourth of it.
 LONG_PIECE = 256
+#: Pieces that a worker holds at once, beside DuckDB's tables.
+PIECES_AT_ONCE = 150_000
 _workers: dict[str, "DuckBpe"] = {}
 
 #: Contract the leftmost minimum-rank pair of every live piece, until none has one.
@@ -217,9 +219,11 @@ def _map_pieces(df: DataFrame, key: str, text: str, row, out: str, path: str, pa
         rx, (_, known) = regex.compile(pattern), worker(path)
         for batch in batches:
             here = (encoded_here(t.as_py(), rx, known) if t.is_valid else None for t in batch.column(2))
-            got = [row(*(h or x)) for x, h in zip(encoded(batch.column(1), known), here, strict=True)]
+            got = [row(*(h or x)) for x, h in zip(encoded(batch.column(1), known, PIECES_AT_ONCE), here, strict=True)]
             cols = zip(*got, strict=True) if batch.num_rows else ((),) * len(names)
             yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["key", *names])
+            del batch, here, got, cols  # before the next batch comes, and what earlier operators left in this worker
+            pa.default_memory_pool().release_unused()
 
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
