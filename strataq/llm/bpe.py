@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices
+from .common import byte_slices, ragged_take
 from .pieces import Pieces, encoded, encoded_here, split
 
 #: Ids that decode() joins at once: bounds a worker's memory.
@@ -40,24 +40,26 @@ PIECES_AT_ONCE = 300_000
 _workers: dict[str, "DuckBpe"] = {}
 
 #: Contract the leftmost minimum-rank pair of every live piece, until none has one.
-#: A row is (piece, position, token); k orders pairs by rank, then position.
+#: A row is (piece, position, token, position and token of the next row); k orders pairs by rank, then position.
 _ENCODE = """
-with recursive s(w, p, t, live) as (
-  select w, p, t, true from byte_rows
+with recursive s(w, p, t, q, nt, live) as (
+  select w, p, t, lead(p) over o, lead(t) over o, true from byte_rows window o as (partition by w order by p)
   union all
-  select w, p, case when k = mk then m else t end, mk is not null
-  from (
-    select w, p, t, m, k, mk, lag(k = mk, 1, false) over (partition by w order by p) as gone
-    from (
-      select w, p, t, m, k, min(k) over (partition by w) as mk
-      from (
-        select a.w, a.p, a.t, g.m, case when g.m is not null then g.m::bigint * 4294967296 + a.p end as k
-        from (select w, p, t, lead(t) over (partition by w order by p) as nt from s where live) a
-        left join merges g on g.l = a.t and g.r = a.nt
-      )
+  select w, p, t, q, nt, live from (
+    with pairs as (
+      select s.w, s.p, s.t, s.q, s.nt, g.m, case when g.m is not null then g.m::bigint * 4294967296 + s.p end as k
+      from s left join merges g on g.l = s.t and g.r = s.nt where s.live
+    ),
+    least as (select w, min(k) as k from pairs group by w),
+    turn as (
+      select a.w, a.p, a.q, a.m, n.q as q2, n.nt as nt2
+      from least join pairs a on a.w = least.w and a.k = least.k join pairs n on n.w = a.w and n.p = a.q
     )
+    select a.w, a.p, case when a.p = c.p then c.m else a.t end as t, case when a.p = c.p then c.q2 else a.q end as q,
+      case when a.p = c.p then c.nt2 when a.q = c.p then c.m else a.nt end as nt, c.w is not null as live
+    from pairs a left join turn c on a.w = c.w
+    where c.q is null or a.p <> c.q
   )
-  where not coalesce(gone, false)
 )
 select w, t from s where not live order by w, p
 """
@@ -93,22 +95,22 @@ class DuckBpe:
         self.db.unregister("_in")
 
     def encode_pieces(self, words: list[str], at_once: int = 10_000) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words in order, ids in each)."""
-        ids, lens = [], []
-        for i in range(0, len(words), at_once):
-            raw = [w.encode() for w in words[i : i + at_once]]
-            long = [k for k, w in enumerate(raw) if len(w) > LONG_PIECE and w not in self.ranks]
-            done = 0
-            for k in (*long, len(raw)):
-                if k > done:
-                    a, b = self._encode(raw[done:k])
-                    ids.append(a)
-                    lens.append(b)
-                if k < len(raw):
-                    ids.append(self._encode_long(raw[k]))
-                    lens.append(np.array([len(ids[-1])], np.int64))
-                done = k + 1
-        return (np.concatenate(ids), np.concatenate(lens)) if ids else (np.empty(0, np.int32), np.empty(0, np.int64))
+        """(ids of all words in order, ids in each). Words of like length go together, as they take like rounds."""
+        raw = [w.encode() for w in words]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        long = [k for k in np.flatnonzero(size > LONG_PIECE).tolist() if raw[k] not in self.ranks]
+        order = np.argsort(size, kind="stable")
+        order = order[~np.isin(order, long)]
+        ids, lens = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        for i in range(0, len(order), at_once):
+            a, b = self._encode([raw[k] for k in order[i : i + at_once].tolist()])
+            ids.append(a)
+            lens.append(b)
+        for k in long:
+            ids.append(self._encode_long(raw[k]))
+            lens.append(np.array([len(ids[-1])], np.int64))
+        ids, lens, back = np.concatenate(ids), np.concatenate(lens), np.argsort(np.concatenate([order, long]).astype(np.int64))
+        return ragged_take(ids, (np.cumsum(lens) - lens)[back], lens[back]), lens[back]
 
     def _encode(self, words: list[bytes], whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, ids in each); with `whole`, a word that is a token is that token."""
