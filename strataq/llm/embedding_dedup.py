@@ -1,15 +1,16 @@
 """Embedding near-dedup by PCA-ordered tiled comparison.
 
-Equal vectors form one class. Classes are sorted by the angle to the leading principal axis and
-cut into blocks; two blocks are compared only if their angle ranges come
-within acos(threshold) (angles obey the triangle inequality, so nothing is
-lost). In a tile the products of the leading dimensions are accumulated
-first; the product of suffix norms bounds the rest, and a pair stops when the bound cannot
-reach the threshold. Surviving pairs within 1e-9 of the threshold are decided
+Equal vectors (by a digest of 128 bits) form one class. Classes are sorted by the angle to the
+leading principal axis and cut into blocks, written once; two blocks are compared only if their angle
+ranges come within acos(threshold) (angles obey the triangle inequality, so nothing is
+lost). Tasks read the pairs of blocks from the written table (a cartesian product), so vectors are
+shuffled twice in all, however many blocks there are. In a tile one product in single precision, of the
+leading dimensions and the suffix norms, bounds every cosine from above; pairs whose bound
+reaches the threshold are computed in double precision. Pairs within 1e-9 of the threshold are decided
 on the original vectors.
 
 A tile returns, for each of its classes, a number of links and its local component, so
-links are never expanded. Blocks hold a fixed number of vectors, so a
+links are never expanded. Blocks hold a bounded number of bytes, so a
 task's memory does not grow with the table.
 
 Defined results: vectors that are null, empty, zero or have null or non-finite
@@ -20,22 +21,47 @@ can; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from .common import materialize
+from .common import materialize, release
 from .components import connected_components
 
-BLOCK = 4096
-LEADING = 16
+#: Most vectors and most bytes of a block; small tables have smaller ones, so that there are some BLOCKS of them.
+BLOCK, BLOCK_BYTES, BLOCKS = 16384, 4 << 20, 12
+LEADING = 32
+#: Products that a tile holds at once.
+AT_ONCE = 1 << 21
+#: More than single precision can err in a product of unit vectors.
+LOOSE = 1e-5
 
 
-def _matrix(col: pa.Array, dim: int) -> np.ndarray:
-    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+def _matrix(col: pa.Array, dim: int, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), kind).astype(np.float64).reshape(-1, dim)
+
+
+def _usable(col: pa.Array, kind: str) -> list[bytes | None]:
+    """The bytes of each vector; null where it is null, empty, zero or not finite. Zeros have no sign."""
+    lens = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = col.flatten()
+    if kind == "f8" and flat.type != pa.float64():
+        flat = flat.cast(pa.float64(), safe=False)
+    x = flat.to_numpy(zero_copy_only=False).astype(kind) + np.dtype(kind).type(0)
+    ends = np.cumsum(lens)
+    among = lambda on: np.diff(np.concatenate([[0], np.cumsum(on)])[np.concatenate([[0], ends])])
+    ok = (lens > 0) & (among(~np.isfinite(x)) == 0) & (among(x != 0) > 0)
+    return [x[e - n : e].tobytes() if o else None for o, n, e in zip(ok.tolist(), lens.tolist(), ends.tolist(), strict=True)]
+
+
+def _digest(v: bytes | None) -> bytes | None:
+    return None if v is None else hashlib.blake2b(v, digest_size=16).digest()
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -43,14 +69,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def principal_axes(vectors: DataFrame, dim: int) -> np.ndarray:
+def principal_axes(vectors: DataFrame, dim: int, kind: str) -> np.ndarray:
     """dim x dim axes by falling variance, from the second moments of all unit vectors (dim**2 numbers a task)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dim, dim))
         for b in batches:
             if b.num_rows:
-                u = _unit(_matrix(b.column(0), dim))
+                u = _unit(_matrix(b.column(0), dim, kind))
                 total += u.T @ u
         yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["m"])
 
@@ -62,36 +88,33 @@ def principal_axes(vectors: DataFrame, dim: int) -> np.ndarray:
     return np.ascontiguousarray(axes[:, np.argsort(-vals)])
 
 
-def tile_links(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float, same: bool, leading: int = LEADING, rows: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _bounds(y: np.ndarray, leading: int) -> np.ndarray:
+    """Leading coordinates and the norm of the others: the product of two such rows is at least the cosine."""
+    k = min(leading, y.shape[1])
+    rest = np.sqrt(np.einsum("ij,ij->i", y[:, k:], y[:, k:]))
+    return np.ascontiguousarray(np.concatenate([y[:, :k], rest[:, None]], axis=1).astype(np.float32))
+
+
+def tile_links(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float, same: bool, leading: int = LEADING, at_once: int = AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i, j) of unit vectors a[i], b[j] with cosine >= threshold; i < j if both are the same block."""
-    ya, yb, dim = a @ axes, b @ axes, a.shape[1]
-    steps = [*range(leading, dim, leading), dim]
-    tail = lambda y, k: np.sqrt(np.maximum(0, 1 - np.einsum("ij,ij->i", y[:, :k], y[:, :k])))
-    tails = [(tail(ya, k), tail(yb, k)) for k in steps]
-    slack = threshold - 1e-9
+    ya, yb = a @ axes, b @ axes
+    wa, wb = _bounds(ya, leading), np.ascontiguousarray(_bounds(yb, leading).T)
+    rows, exact = max(1, at_once // len(b)), max(1, at_once // a.shape[1])
     for r in range(0, len(a), rows):
-        k = steps[0]
-        part = ya[r : r + rows, :k] @ yb[:, :k].T
-        live = part + np.outer(tails[0][0][r : r + rows], tails[0][1]) >= slack
-        if same:
-            live &= np.arange(r, min(len(a), r + rows))[:, None] < np.arange(len(b))[None, :]
-        if live.mean() > 0.1:
-            dots = ya[r : r + rows] @ yb.T
-            i, j = np.nonzero(live & (dots >= slack))
-            d = dots[i, j]
-            i += r
-        else:
-            i, j = np.nonzero(live)
-            d = part[i, j]
-            i += r
-            for s, k in enumerate(steps[1:], 1):
-                d = d + np.einsum("ij,ij->i", ya[i, steps[s - 1] : k], yb[j, steps[s - 1] : k])
-                on = d + tails[s][0][i] * tails[s][1][j] * (k < dim) >= slack
-                i, j, d = i[on], j[on], d[on]
-        near = np.flatnonzero(np.abs(d - threshold) < 1e-9)
-        d[near] = np.einsum("ij,ij->i", a[i[near]], b[j[near]])
-        ok = d >= threshold
-        yield i[ok], j[ok]
+        first = r + 1 if same else 0  # columns before it are met from the other side
+        if first >= len(b):
+            break
+        hit = np.flatnonzero(wa[r : r + rows] @ wb[:, first:] >= np.float32(threshold - LOOSE))
+        for h in range(0, len(hit), exact):
+            i, j = np.divmod(hit[h : h + exact], len(b) - first)
+            i, j = i + r, j + first
+            if same:
+                i, j = i[i < j], j[i < j]
+            d = np.einsum("ij,ij->i", ya[i], yb[j])
+            near = np.flatnonzero(np.abs(d - threshold) < 1e-9)
+            d[near] = np.einsum("ij,ij->i", a[i[near]], b[j[near]])
+            ok = d >= threshold
+            yield i[ok], j[ok]
 
 
 def _join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -112,16 +135,15 @@ def _join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def _blocks(t: pa.Table, axes: np.ndarray, dim: int, size: int) -> pa.Table:
-    x = _matrix(t.column("v").combine_chunks() if isinstance(t.column("v"), pa.ChunkedArray) else t.column("v"), dim)
-    u = _unit(x)
-    angle = np.arccos(np.clip(u @ axes[:, 0], -1, 1))
+def _blocks(t: pa.Table, axes: np.ndarray, dim: int, kind: str, size: int) -> pa.Table:
+    v = np.frombuffer(b"".join(t.column("v").to_pylist()), kind).reshape(-1, dim)
+    angle = np.concatenate([np.arccos(np.clip(_unit(v[i : i + size].astype(np.float64)) @ axes[:, 0], -1, 1)) for i in range(0, len(v), size)])
     cid, n, blk = (t.column(c).to_numpy() for c in ("cid", "n", "blk"))
     order = np.argsort(angle, kind="stable")
     rows = []
     for k, i in enumerate(range(0, len(order), size)):
         o = order[i : i + size]
-        rows.append((f"{blk[0]}.{k}", angle[o[0]], angle[o[-1]], cid[o].tobytes(), n[o].tobytes(), x[o].tobytes()))
+        rows.append((f"{blk[0]}.{k}", angle[o[0]], angle[o[-1]], cid[o].tobytes(), n[o].tobytes(), v[o].tobytes()))
     kinds = [pa.string(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
     return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["blk", "lo", "hi", "cids", "ns", "data"])
 
@@ -129,12 +151,12 @@ def _blocks(t: pa.Table, axes: np.ndarray, dim: int, size: int) -> pa.Table:
 _BLOCKS = "blk string, lo double, hi double, cids binary, ns binary, data binary"
 
 
-def _tile(t: pa.Table, axes: np.ndarray, dim: int, threshold: float) -> pa.Table:
-    same = t.num_rows == 1
-    side = [{c: t.column(c)[i].as_py() for c in ("cids", "ns", "data")} for i in range(t.num_rows)]
-    ids = [np.frombuffer(s["cids"], np.int64) for s in side]
-    ns = [np.frombuffer(s["ns"], np.int64) for s in side]
-    us = [_unit(np.frombuffer(s["data"]).reshape(-1, dim)) for s in side]
+def _tile(row: dict, axes: np.ndarray, dim: int, kind: str, threshold: float) -> pa.RecordBatch:
+    same = row["a_blk"] == row["b_blk"]
+    sides = "a" if same else "ab"
+    ids = [np.frombuffer(row[f"{s}_cids"], np.int64) for s in sides]
+    ns = [np.frombuffer(row[f"{s}_ns"], np.int64) for s in sides]
+    us = [_unit(np.frombuffer(row[f"{s}_data"], kind).astype(np.float64).reshape(-1, dim)) for s in sides]
     cid, n = np.concatenate(ids), np.concatenate(ns)
     shift = 0 if same else len(ids[0])
     label, got = np.arange(len(cid)), np.zeros(len(cid), np.int64)
@@ -144,55 +166,83 @@ def _tile(t: pa.Table, axes: np.ndarray, dim: int, threshold: float) -> pa.Table
         np.add.at(got, j, n[i])
         label = _join_labels(label, i, j)
     on = np.flatnonzero(got)
-    return pa.table([pa.array(cid[on]), pa.array(got[on]), pa.array(cid[label[on]])], names=["cid", "links", "root"])
-
-
-def _class_links(classes: DataFrame, dim: int, threshold: float, block: int) -> DataFrame:
-    """cid, links, root of all tiles of the classes (cid, v, n) of one length."""
-    axes = principal_axes(classes, dim)
-    main = [float(x) for x in axes[:, 0]]
-    dot = F.aggregate(F.zip_with("v", F.array(*[F.lit(x) for x in main]), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
-    norm = F.sqrt(F.aggregate(F.transform("v", lambda a: a.cast("double") * a), F.lit(0.0), lambda s, x: s + x))
-    placed = classes.withColumn("p", dot / norm)
-    n = classes.count()
-    cuts = placed.approxQuantile("p", [i / -(-n // block) for i in range(1, -(-n // block))], 0.001) if n > block else []
-    blk = F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), lambda c: c < F.col("p"))) if cuts else F.lit(0)
-    dealt = placed.withColumn("blk", blk.cast("int")).select("blk", "cid", "n", "v")
-    blocks = materialize(dealt.groupBy("blk").applyInArrow(lambda t: _blocks(t, axes, dim, block), _BLOCKS), "embed-blocks")
+    return pa.record_batch([pa.array(cid[on]), pa.array(got[on]), pa.array(cid[label[on]])], names=["cid", "links", "root"])
+
+
+def _dealt(classes: DataFrame, dim: int, kind: str, block: int, n: int) -> tuple[np.ndarray, DataFrame]:
+    """The axes, and the written blocks of the n classes (cid, n, v) of one length."""
+    axes = principal_axes(classes, dim, kind)
+    block = min(block, max(1, BLOCK_BYTES // (dim * np.dtype(kind).itemsize)), max(1024, -(-n // BLOCKS)))
+    main = np.ascontiguousarray(axes[:, 0])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.record_batch([pa.array(_unit(_matrix(b.column(0), dim, kind)) @ main)], names=["p"])
+
+    at = [i / -(-n // block) for i in range(1, -(-n // block))]
+    cuts = np.unique(classes.select("v").mapInArrow(place, "p double").approxQuantile("p", at, 0.001)) if at else np.empty(0)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                blk = np.searchsorted(cuts, _unit(_matrix(b.column(2), dim, kind)) @ main)
+                yield pa.record_batch([pa.array(blk.astype(np.int32)), *b.columns], names=["blk", "cid", "n", "v"])
+
+    dealt = classes.select("cid", "n", "v").mapInArrow(deal, "blk int, cid long, n long, v binary")
+    return axes, materialize(dealt.groupBy("blk").applyInArrow(lambda t: _blocks(t, axes, dim, kind, block), _BLOCKS), "embed-blocks", "uncompressed")
+
+
+def _block_links(blocks: DataFrame, axes: np.ndarray, dim: int, kind: str, threshold: float) -> DataFrame:
+    """cid, links, root of all tiles."""
     reach = float(np.arccos(threshold)) + 1e-9
-    meta = blocks.select("blk", "lo", "hi")
-    cell = lambda c: F.floor(c / F.lit(reach)).cast("int")
-    left = meta.select(F.col("blk").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"), F.explode(F.sequence(cell(F.col("lo")) - 1, cell(F.col("hi")) + 1)).alias("cell"))
-    right = meta.select(F.col("blk").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"), F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))).alias("cell"))
-    near = left.join(right, "cell").where((F.col("a") <= F.col("b")) & (F.col("blo") - F.col("ahi") <= reach) & (F.col("alo") - F.col("bhi") <= reach))
-    pairs = near.select("a", "b").distinct()
-    sides = pairs.select(F.concat_ws("/", "a", "b").alias("tile"), F.explode(F.array_distinct(F.array("a", "b"))).alias("blk"))
-    tiles = sides.join(blocks.select("blk", "cids", "ns", "data"), "blk").drop("blk")
-    return materialize(tiles.groupBy("tile").applyInArrow(lambda t: _tile(t.drop_columns(["tile"]), axes, dim, threshold), "cid long, links long, root long"), "embed-links")
+    side = lambda s: blocks.select(*[F.col(c).alias(f"{s}_{c}") for c in blocks.columns])
+    near = (F.col("a_blk") <= F.col("b_blk")) & (F.col("b_lo") - F.col("a_hi") <= reach) & (F.col("a_lo") - F.col("b_hi") <= reach)
+    tiles = side("a").join(side("b").hint("shuffle_replicate_nl"), near).drop("a_lo", "a_hi", "b_lo", "b_hi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                yield _tile(b.slice(i, 1).to_pylist()[0], axes, dim, kind, threshold)
+
+    return materialize(tiles.mapInArrow(run, "cid long, links long, root long"), "embed-links")
 
 
 def embedding_dedup(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, block: int = BLOCK) -> DataFrame:
     """One row per vector: key, n_links, component_id, kept."""
-    v = F.col(vector)
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
-    usable = F.coalesce(v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = df.select(F.col(key).alias("key"), F.when(usable, F.transform(v, lambda x: x.cast("double"))).alias("v"))
-    rows = materialize(rows, "embed-rows")
-    classes = rows.where("v is not null").groupBy("v").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n"))
+    read = df.select(F.col(key).alias("key"), F.col(vector).alias("v"))
+    kind = "f4" if isinstance(read.schema["v"].dataType.elementType, FloatType) else "f8"
+    named = f"key {read.schema['key'].dataType.simpleString()}, digest binary"
+
+    def run(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                v = _usable(b.column(1), kind)
+                cols = [b.column(0), pa.array([_digest(x) for x in v], pa.binary())] + [pa.array(v, pa.binary())] * whole
+                yield pa.record_batch(cols, names=["key", "digest", "v"][: len(cols)])
+
+    rows = materialize(read.mapInArrow(lambda bs: run(bs, False), named), "embed-rows")
+    classes = read.mapInArrow(lambda bs: run(bs, True), named + ", v binary").where("digest is not null")
+    classes = classes.groupBy("digest").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "embed-classes")
-    dims = [r[0] for r in classes.select(F.size("v")).distinct().collect()]
+    width = np.dtype(kind).itemsize
+    dims = [(r[0] // width, r[1]) for r in classes.groupBy(F.octet_length("v").alias("bytes")).count().collect()]
+    if not dims:
+        return rows.select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"), F.lit(True).alias("kept"))
+    dealt = [(dim, *_dealt(classes.where(F.octet_length("v") == dim * width), dim, kind, block, n)) for dim, n in dims]
+    names = materialize(classes.drop("v"), "embed-names")
+    release(classes)
     links = None
-    for dim in dims:
-        part = _class_links(classes.where(F.size("v") == dim), dim, threshold, block)
+    for dim, axes, blocks in dealt:
+        part = _block_links(blocks, axes, dim, kind, threshold)
+        release(blocks)
         links = part if links is None else links.unionByName(part)
-    if links is None:
-        return rows.select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"), F.lit(True).alias("kept"))
     cc = connected_components(links.select(F.col("cid").alias("u"), F.col("root").alias("v")))
     count = links.groupBy("cid").agg(F.sum("links").alias("links"))
-    full = classes.join(count, "cid", "left").join(cc.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    full = names.join(count, "cid", "left").join(cc.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = full.groupBy("label").agg(F.min("least").alias("component"))
-    full = materialize(full.join(least, "label").select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component"), "embed-result")
-    out = rows.join(full, "v", "left")
+    full = materialize(full.join(least, "label").select("digest", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component"), "embed-result")
+    out = rows.join(full, "digest", "left")
     comp = F.coalesce("component", "key")
     return out.select("key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.col("key").eqNullSafe(comp).alias("kept"))
 
