@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, ragged_take
+from .common import byte_slices, give_back, ragged_take
 from .pieces import Pieces, encoded, encoded_here, split
 
 #: Ids that decode() joins at once: bounds a worker's memory.
@@ -225,7 +225,7 @@ def _map_pieces(df: DataFrame, key: str, text: str, row, out: str, path: str, pa
             cols = zip(*got, strict=True) if batch.num_rows else ((),) * len(names)
             yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["key", *names])
             del batch, here, got, cols  # before the next batch comes, and what earlier operators left in this worker
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, n_shuffle, text_or_empty
+from .common import materialize, n_shuffle, text_or_empty, tidy
 
 #: Bytes of content that one table may hold.
 TABLE_BYTES = 32 << 20
@@ -171,7 +171,7 @@ def _resolve(groups: DataFrame, key_type: str, budget: int, level: int = 0) -> D
     dealt = b.select("bucket", "lid", "rid", "key", "n_cp", "sha", "n", "content").repartition(nb, "bucket").sortWithinPartitions("bucket")
     out = T.StructType.fromDDL(f"lid long, keep_rid long, keep_key {key_type}, group_size long")
     schema = _arrow(out)
-    done = dealt.mapInArrow(lambda it: _fold_buckets(it, schema), out)
+    done = dealt.mapInArrow(lambda it: tidy(_fold_buckets(it, schema)), out)
     return done.unionByName(rest) if rest is not None else done
 
 
@@ -183,7 +183,7 @@ def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", table_by
     rows = df.select(F.col(key).alias("key"), F.char_length(t).alias("n_cp"), F.sha2(norm.cast("binary"), 256).alias("sha"), norm.cast("binary").alias("content"), *([F.col(row)] if row else []))
     out = T.StructType.fromDDL(_LEVEL0.format(key=key_type))
     schema = _arrow(out)
-    level0 = materialize(rows.mapInArrow(lambda it: _local_fold(it, schema, table_bytes), out), "dedup")
+    level0 = materialize(rows.mapInArrow(lambda it: tidy(_local_fold(it, schema, table_bytes)), out), "dedup")
     resolved = _resolve(level0.where("n is not null"), key_type, table_bytes)
     members = level0.where("n is null").select("rid", "key", "lid", "sha")
     return members.join(resolved, "lid").select("key", F.col("keep_key").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), F.col("sha").alias("text_sha256"), *([F.col("rid").alias(row)] if row else []))

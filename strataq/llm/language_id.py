@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices, mix64, stable_key, text_or_empty
+from .common import byte_slices, mix64, stable_key, text_or_empty, tidy
 
 SAMPLE_PER_LANG = 500
 SAMPLE_DOC_BYTES = 1 << 20
@@ -213,7 +213,7 @@ def fit_model(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["langs", "logits", "bias", "temperature", "threshold"])
 
     rows = sample(df, key, text, lang, F.coalesce(~held_out(F.col(key)), F.lit(False)), per_lang)
-    got = rows.coalesce(1).mapInArrow(run, "langs array<string>, logits binary, bias array<double>, temperature double, threshold double").collect()
+    got = rows.coalesce(1).mapInArrow(lambda it: tidy(run(it)), "langs array<string>, logits binary, bias array<double>, temperature double, threshold double").collect()
     model = Model([])
     if got and got[0].langs:
         model = Model(list(got[0].langs))
@@ -227,8 +227,7 @@ def predicted(model: Model, text: str | Column = "text", slice_bytes: int = 1 <<
     t = text_or_empty(text)
     out = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
-    @F.arrow_udf("lang_pred string, score double, rejected boolean")
-    def predict(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def answers(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         names = np.array([*model.langs, "und"], object)
         for texts, letters in batches:
             has = letters.to_numpy(zero_copy_only=False).astype(bool)
@@ -241,6 +240,10 @@ def predicted(model: Model, text: str | Column = "text", slice_bytes: int = 1 <<
             cols = [pa.array(names[best], pa.string()), pa.array(p), pa.array(~ok | (p < model.threshold))]
             yield pa.StructArray.from_arrays(cols, fields=list(out))
 
+    @F.arrow_udf("lang_pred string, score double, rejected boolean")
+    def predict(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        yield from tidy(answers(batches))
+
     return predict(t, t.rlike(r"\p{L}"))
 
 

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, materialize, mix64, release, text_or_empty
+from .common import byte_slices, materialize, mix64, release, text_or_empty, tidy
 from .components import connected_components
 
 WORDS, ROWS, BANDS = 5, 6, 50
@@ -274,7 +274,7 @@ def _sets(nodes: DataFrame, docs: DataFrame, slice_bytes: int) -> DataFrame:
     """
     bloom = _bloom(nodes)
     kinds = f"th binary, {', '.join(f'{c} long' for c in SKETCH)}, shingles binary"
-    found = docs.mapInArrow(lambda it: _set_batches(it, slice_bytes, bloom), kinds).dropDuplicates(["th"])
+    found = docs.mapInArrow(lambda it: tidy(_set_batches(it, slice_bytes, bloom)), kinds).dropDuplicates(["th"])
     return materialize(found.join(nodes.select("nid", "th"), "th").drop("th"), "minhash-sets")
 
 
@@ -329,7 +329,7 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     one = pairs.join(sets.select(F.col("nid").alias("v"), F.col("shingles").alias("sv")), "v")
     two = one.join(sets.select(F.col("nid").alias("u"), F.col("shingles").alias("su")), "u").select("u", "v", "su", "sv")
     num, den = THRESHOLD
-    return materialize(two.mapInArrow(lambda it: _link_batches(it, num, den), "u long, v long"), "minhash-links")
+    return materialize(two.mapInArrow(lambda it: tidy(_link_batches(it, num, den)), "u long, v long"), "minhash-links")
 
 
 def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", slice_bytes: int = 4 << 20, star_rounds: int = 2) -> DataFrame:
@@ -337,7 +337,7 @@ def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", slice_byt
     kind = df.schema[key].dataType.simpleString()
     t = text_or_empty(text)
     docs = df.select(F.col(key).alias("key"), F.unhex(F.md5(t.cast("binary"))).alias("th"), t.alias("text"))
-    rows = docs.mapInArrow(lambda it: _sketch_batches(it, slice_bytes), f"key {kind}, th binary, n long, a long, b long, bands array<long>")
+    rows = docs.mapInArrow(lambda it: tidy(_sketch_batches(it, slice_bytes)), f"key {kind}, th binary, n long, a long, b long, bands array<long>")
     rows = materialize(rows, "minhash-rows")
     firsts = [F.first(c).alias(c) for c in ("n", "bands")]
     classes = rows.where("n > 0").groupBy("a", "b").agg(F.min("th").alias("th"), *firsts)
